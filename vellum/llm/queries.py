@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import exact_dedup, packing, sharding
+from vellum.llm import exact_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its categories' probabilities and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.categories_of(table(spark, sf_dir, "labels")), toxicity.CATEGORIES, "toxic")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "toxicity.*")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 ids."""
     pieces = packing.cut(table(spark, sf_dir, "documents"))
@@ -32,7 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
