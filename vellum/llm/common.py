@@ -95,3 +95,38 @@ def shingle_hashes(h: np.ndarray, width: int = 5) -> np.ndarray:
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
     return mix(out)
+
+
+def chunks(sizes: np.ndarray, budget: int) -> list[slice]:
+    """Runs of consecutive items whose sizes add up to about `budget`; at least one item each."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > budget:
+            out.append(slice(start, i))
+            start, total = i, 0
+        total += n
+    return [*out, slice(start, len(sizes))] if len(sizes) else []
+
+
+def text_chunks(texts: pd.Series, budget: int = 1_000_000) -> list[slice]:
+    return chunks(texts.str.len().fillna(0).to_numpy(), budget)
+
+
+def sorted_groups(batches, keys: list[str]):
+    """The groups of a stream of DataFrames that is sorted by keys, each as one DataFrame; a group may lie across batches."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch), bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            changed[1:] |= v[1:] != v[:-1]
+        at = [0, *np.flatnonzero(changed).tolist()]
+        for a, b in zip(at, at[1:], strict=False):
+            yield batch.iloc[a:b]
+        rest = batch.iloc[at[-1] :]
+    if rest is not None and len(rest):
+        yield rest

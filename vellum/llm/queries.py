@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import exact_dedup, packing, sharding, toxicity
+from vellum.llm import exact_dedup, ngram_join, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "toxicity.*")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and its number of similar documents."""
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "class_size")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 ids."""
     pieces = packing.cut(table(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_toxicity, op7_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
