@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, ngram_join, packing, sharding, toxicity
+from vellum.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
@@ -49,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op4_exact_dedup, op5_toxicity, op7_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op7_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
