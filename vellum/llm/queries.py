@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, sharding, toxicity
+from vellum.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, sharding, toxicity, warc
+from vellum.llm.common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "toxicity.*")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back from them."""
+    folder = new_folder(spark, "warc")
+    files = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies and its number of similar documents."""
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "class_size")
@@ -55,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op7_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,4 +73,14 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
         """,
+        "op6_warc": """
+            WITH p AS (
+                SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                       min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least
+                FROM pages)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
+            FROM p
+        """,
     }
