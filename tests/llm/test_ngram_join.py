@@ -88,7 +88,8 @@ def test_equals_brute_force(spark):
 
 def test_small_blocks_and_deep_paths(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "GROWTH", 1)
     rows = corpus(4)
     check(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 

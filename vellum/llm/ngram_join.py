@@ -15,7 +15,7 @@
 3. Linked sets make candidate components. They hold too many pairs, never fewer than were found.
    Within each, every pair is compared exactly, on the sets of shingles: the component is
    cut into blocks and a task gets two blocks. Only counts and one link for each set leave
-   the task, so a group of k near copies gives k rows for each of its blocks and not k * k.
+   the task, and blocks grow with the component, so k near copies make about k ** 1.5 / 8 rows and not k * k.
 4. Components of the exact links are the classes.
 
 Defined results: null counts as empty; rows that repeat a text are linked to each other; an empty
@@ -41,8 +41,8 @@ COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 64, 9
 ALIKE = 0.7
 #: Embeddings that agree in fewer coordinates (4 standard deviations under 0.8) aren't compared exactly.
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
-#: Sets in a block at least, blocks of a component up to which they don't grow, and sets in a block at most.
-BLOCK, BLOCKS, BLOCK_MOST = 64, 128, 2048
+#: Sets in a block: GROWTH times the square root of the component, from BLOCK to BLOCK_MOST. So k sets make about k ** 1.5 / GROWTH rows.
+BLOCK, GROWTH, BLOCK_MOST = 64, 8, 2048
 #: Candidates up to so many are broadcast to the texts (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -248,7 +248,8 @@ def join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     candidates = components(edges)
 
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    k = F.ceil(F.greatest(F.least(F.col("size") / BLOCK, F.lit(BLOCKS)), F.col("size") / BLOCK_MOST)).cast("int")
+    block = F.least(F.greatest(GROWTH * F.sqrt("size"), F.lit(BLOCK)), F.lit(BLOCK_MOST))
+    k = F.ceil(F.col("size") / block).cast("int")
     placed = candidates.join(sizes.select("root", k.alias("k")), "root").select(F.col("id").alias("rep"), "root", "k", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("block"))
     wanted = checkpoint(sets.select("rep", "copies", "doc_id", "text_hash").join(placed, "rep"))
     pairs = _with_shingles(docs, wanted).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
