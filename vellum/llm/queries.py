@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, sharding, toxicity, warc
+from vellum.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, packing, sharding, toxicity, training_order, warc
 from vellum.llm.common import new_folder
 
 
@@ -56,6 +56,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "class_size")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence statement in the documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 2048 ids at their slots in training order, written as binary shards."""
+    return training_order.materialise(table(spark, sf_dir, "documents"), new_folder(spark, "shards"), key=20)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 ids."""
     pieces = packing.cut(table(spark, sf_dir, "documents"))
@@ -63,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
