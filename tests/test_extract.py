@@ -1,0 +1,112 @@
+"""Behaviour of the extraction on synthetic word tables."""
+
+import pytest
+
+from vellum import schemas
+from vellum.plans.extract import extract, results
+from vellum.sources import sinks
+
+
+def page(doc, number, rows, width=612.0, height=792.0):
+    """rows: (y, [(x, text)]). Each text becomes words at a fixed pitch."""
+    words, n = [], 0
+    for y, parts in rows:
+        for x, text in parts:
+            at = float(x)
+            for w in text.split():
+                words.append((doc, number, n, at, float(y), at + 5.0 * len(w), y + 9.0, w, False))
+                at += 5.0 * (len(w) + 1)
+                n += 1
+    return words, (doc, number, width, height, False)
+
+
+HEADS = [(60, "QTY"), (100, "DESCRIPTION"), (250, "CATALOG"), (400, "FINISH"), (500, "MFR")]
+
+
+def row(y, qty, description, catalog, finish, mfr):
+    return (y, [(x, t) for x, t in zip((60, 100, 250, 400, 500), (qty, description, catalog, finish, mfr), strict=True) if t])
+
+
+DOCS = {
+    "plain": [
+        (1, [(100, [(60, "HARDWARE SET: 01 - ENTRY")]), (120, HEADS), row(140, "3", "HINGE", "BB1279", "US26D", "IVE"), row(160, "1", "CLOSER", "4040XP", "AL", "LCN"), row(180, "1/2", "SEAL", "S88", "BLK", "PE"),
+             (300, [(60, "HARDWARE SET: 02 - NOT USED")]), (400, [(60, "HARDWARE SET: 03 - PAIR")]), (420, HEADS), row(440, "", "LOCKSET", "ND50", "626E", "SCH")]),
+        (2, [(100, HEADS), row(120, "2", "STOP", "WS407", "US26D", "IVE"), row(140, "1", "SILENCER", "SR64", "GREY", "IVE")]),
+        (3, [(100, [(60, "PART 1 - GENERAL")]), (120, [(60, "3"), (100, "HINGE of another section")])]),
+    ],
+    "swapped": [(1, [(100, [(60, "HARDWARE SET: 7A - OFFICE")]), (120, [(60, "QTY"), (100, "DESCRIPTION"), (250, "CATALOG"), (400, "MFR"), (500, "FINISH")]), row(140, "1", "SEAL", "S773", "PE", "AL"), row(160, "1", "STOP", "WS407", "NO", "US")])],
+    "prose": [(1, [(100, [(60, "The set of 12 doors shall be furnished.")]), (120, [(60, "Refer to group on sheet A1 for the work.")]), (140, [(60, "Provide all items.")])])],
+    "struck": [(1, [(100, [(60, "HARDWARE SET: 9 - STORE")]), (120, HEADS), row(140, "1", "CLOSER", "4040XP", "AL", "LCN"), row(160, "1", "HOLDER", "H12", "US26D", "IVE")])],
+    "legend": [(1, [(60, [(60, "HARDWARE LEGEND")]), (72, [(60, "C1 = Door closer | 4040XP | LCN | AL")]), (84, [(60, "C2 = Floor stop | FS1 | IVE")]), (150, [(60, "HARDWARE SET: 4 - LAB")]), (170, HEADS), row(190, "1", "CLOSER", "C1", "AL", "LCN"), row(210, "1", "STOP", "X9", "US26D", "IVE")])],
+    "alias": [(1, [(100, [(60, "HARDWARE SET: B1 and #B2 - TOILET")]), (120, HEADS), row(140, "3", "HINGE", "BB1", "US26D", "IVE")])],
+    "empty": [(1, [(100, [(60, "x")])])],
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    words, pages = [], []
+    for doc, content in DOCS.items():
+        for number, rows in content:
+            w, p = page(doc, number, rows)
+            words += w
+            pages.append(p)
+    strikes = spark.createDataFrame([("struck", 1, 55.0, 560.0, 140 + 9 * 0.56), ("struck", 1, 55.0, 560.0, 169.5)], schemas.STRIKES)
+    out = extract(spark.createDataFrame(words, schemas.WORDS).repartition(3), spark.createDataFrame(pages, schemas.PAGES), strikes)
+    rows = {}
+    out["sets"].cache()
+    for r in out["sets"].orderBy("doc_id", "position").collect():
+        rows.setdefault(r["doc_id"], []).append(r["set"])
+    return out, rows
+
+
+def fields(c):
+    return (c["qty_num"] if c["qty_text"] is None else c["qty_text"], c["description"], c["catalog_number"], c["finish"], c["mfr"])
+
+
+def test_sets_rows_and_continuation(found):
+    sets = found[1]["plain"]
+    assert [(s["set_number"], s["status"]) for s in sets] == [("01", "active"), ("02", "not_used"), ("03", "active")]
+    assert [fields(c) for c in sets[0]["components"]] == [(3.0, "HINGE", "BB1279", "US26D", "IVE"), (1.0, "CLOSER", "4040XP", "AL", "LCN"), ("1/2", "SEAL", "S88", "BLK", "PE")]
+    assert [fields(c) for c in sets[2]["components"]] == [(None, "LOCKSET", "ND50", "626E", "SCH"), (2.0, "STOP", "WS407", "US26D", "IVE"), (1.0, "SILENCER", "SR64", "GREY", "IVE")]
+    assert [x["page"] for x in sets[2]["locations"]] == [1, 2]
+    assert "Set continues across PDF pages." in sets[2]["warnings"] and not sets[1]["components"]
+    assert any("Quantity" in w for w in sets[2]["components"][0]["warnings"]) and sets[0]["description"] == "ENTRY"
+
+
+def test_columns_not_codes_decide(found):
+    assert [fields(c)[3:] for c in found[1]["swapped"][0]["components"]] == [("AL", "PE"), ("US", "NO")]
+
+
+def test_prose_is_no_heading(found):
+    assert "prose" not in found[1] and "empty" not in found[1]
+    docs = {r["doc_id"]: r for r in found[0]["documents"].collect()}
+    assert docs["empty"]["set_count"] == 0 and docs["empty"]["text_poor_pages"] == [1] and docs["plain"]["component_count"] == 6 and docs["plain"]["unused_set_count"] == 1
+
+
+def test_strike_removes_underline_does_not(found):
+    only = found[1]["struck"][0]
+    assert [c["description"] for c in only["components"]] == ["HOLDER"] and any("struck" in w for w in only["warnings"])
+
+
+def test_codes_resolve_by_legend_only(found):
+    a, b = found[1]["legend"][0]["components"]
+    assert a["catalog_resolution"]["description"] == "Door closer" and a["catalog_resolution"]["finish"] == "AL" and any("C1" in w for w in a["warnings"])
+    assert b["catalog_resolution"] is None
+
+
+def test_alias(found):
+    a, b = found[1]["alias"]
+    assert (a["set_number"], b["set_number"]) == ("B1", "B2") and a["description"] == b["description"] == "TOILET"
+    assert fields(a["components"][0]) == fields(b["components"][0]) and a["components"][0]["id"] != b["components"][0]["id"]
+
+
+def test_results_and_export(spark, found, tmp_path):
+    registry = spark.createDataFrame([(d, d + ".pdf", "p", f"p/{d}.pdf") for d in DOCS], "doc_id string, name string, project string, source_path string")
+    nested = results(found[0], registry)
+    rows = sinks.export_rows(nested).collect()
+    plain = [r for r in rows if r["document_id"] == "plain"]
+    assert len(plain) == 7 and [r["qty"] for r in plain if r["set_number"] == "01"] == ["3", "1", "1/2"] and rows[0].asDict().keys() == set(sinks.EXPORT)
+    assert next(r for r in plain if r["set_number"] == "02")["component_id"] is None
+    sinks.write_results(nested, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(DOCS)

@@ -194,4 +194,8 @@ SQL: dict[str, str] = {
         s AS (SELECT *, CASE WHEN page - lag(page) OVER w = 1 THEN 0 ELSE 1 END AS starts FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY page)),
         i AS (SELECT *, sum(starts) OVER (PARTITION BY l_orderkey ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM s)
         SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(page) AS first_page, max(page) AS last_page FROM i GROUP BY l_orderkey, island""",
+    "extract_schedules": """
+        SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS set_number, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty, p_name AS description, p_brand AS catalog_number, l_returnflag AS finish, p_type AS mfr
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
+    "line_grouping": f"WITH {WORDS}, l AS (SELECT doc_id, page, line_no, count(*) AS n FROM words GROUP BY doc_id, page, line_no) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words FROM l",
 }

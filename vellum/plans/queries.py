@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import metrics, overlay, relate, segments
+from vellum.operators import assignment, metrics, overlay, relate, segments
+from vellum.operators.lines import group_lines
+from vellum.plans.extract import extract
 from vellum.sources import scan
 
 QUERIES: dict = {}
@@ -41,7 +43,7 @@ HEADER = F.col("line").rlike(r"^[^\s]+( [^\s]+){0,2}\.$")
 
 @query
 def doc_lines(spark, sf_dir):
-    return lines(spark, sf_dir).select("doc_id", "line_no", T.clean("line").alias("text"), F.length(T.clean("line")).alias("chars"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.clean("line").alias("text"), F.length(T.clean("line")).cast("long").alias("chars"))
 
 
 @query
@@ -391,3 +393,57 @@ def page_runs(spark, sf_dir):
     """Runs of adjacent line numbers in an order: sets that continue on the next page."""
     pages = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("page")).distinct()
     return segments.page_islands(pages, ["l_orderkey"]).groupBy("l_orderkey", "island").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+def schedule_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(words, pages) of printed schedules: a document for each customer, a page for each order, a row for each item."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cell = lambda role, x, text: F.struct(F.lit(role).alias("role"), F.lit(float(x)).alias("x"), text.alias("text"))
+    row = F.array(cell(0, 60, F.col("l_quantity").cast("int").cast("string")), cell(1, 100, F.col("p_name")), cell(2, 250, F.col("p_brand")), cell(3, 400, F.col("l_returnflag")), cell(4, 500, F.col("p_type")))
+    place = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = items.select(F.col("o_custkey").alias("doc_id"), "o_orderkey", (F.lit(120) + 20 * F.row_number().over(place)).alias("y"), row.alias("cells"))
+    orders = items.select(F.col("o_custkey").alias("doc_id"), "o_orderkey").distinct()
+    heading = F.array(cell(0, 60, F.concat(F.lit("HARDWARE SET: "), "o_orderkey")))
+    labels = F.array(*[cell(i, x, F.lit(t)) for i, (x, t) in enumerate([(60, "QTY"), (100, "DESCRIPTION"), (250, "CATALOG"), (400, "FINISH"), (500, "MFR")])])
+    lines_ = rows.unionByName(orders.select("doc_id", "o_orderkey", F.lit(100).alias("y"), heading.alias("cells"))).unionByName(orders.select("doc_id", "o_orderkey", F.lit(120).alias("y"), labels.alias("cells")))
+    pages = orders.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) * 2)  # no page follows another, so no set continues
+    cells = lines_.join(pages, ["doc_id", "o_orderkey"]).select(F.col("doc_id").cast("string").alias("doc_id"), "page", "y", F.explode("cells").alias("c"))
+    step = lambda acc, w: F.struct((acc["x"] + 5 * (F.length(w) + 1)).alias("x"), F.concat(acc["out"], F.array(F.struct(acc["x"].alias("x"), w.alias("w")))).alias("out"))
+    parts = F.aggregate(F.split("c.text", " "), F.struct(F.col("c.x").alias("x"), F.array().cast("array<struct<x:double,w:string>>").alias("out")), step)["out"]
+    placed = cells.select("doc_id", "page", "y", "c.role", F.posexplode(parts).alias("k", "p"))
+    y = F.col("y").cast("double")
+    words_ = placed.select("doc_id", "page", (F.col("y") * 1000 + F.col("role") * 100 + F.col("k")).cast("int").alias("word_seq"), F.col("p.x").alias("x0"), y.alias("y0"), (F.col("p.x") + 5 * F.length("p.w")).alias("x1"), (y + 9).alias("y1"), F.col("p.w").alias("text"), F.lit(False).alias("rotated"))
+    facts = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.lit(612.0).alias("width"), F.lit(2000.0).alias("height"), F.lit(False).alias("ocr"))
+    return words_, facts
+
+
+@query
+def extract_schedules(spark, sf_dir):
+    """The whole extraction over printed orders gives the items back."""
+    found = extract(*schedule_words(spark, sf_dir))["components"]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "set_number", F.col("qty_num").alias("qty"), "description", "catalog_number", "finish", "mfr")
+
+
+@query
+def line_grouping(spark, sf_dir):
+    """Lines of the documents' words, each moved up or down by less than the tolerance."""
+    w = words(spark, sf_dir).withColumn("jitter", (F.pmod(F.hash("text"), F.lit(5)) - 2) * 0.3)
+    w = w.select(F.col("doc_id").cast("string").alias("doc_id"), "page", (F.col("line_no") * 10_000 + F.col("k")).cast("int").alias("word_seq"), F.col("x0").cast("double"), (F.col("y0") + F.col("jitter")).alias("y0"), F.col("x1").cast("double"), (F.col("y1") + F.col("jitter")).alias("y1"), "text", F.lit(False).alias("rotated"))
+    grouped = group_lines(w)
+    return grouped.select(F.col("doc_id").cast("long").alias("doc_id"), "page", "line_no", F.size("words").alias("n_words"))
+
+
+@query
+def assign_rows(spark, sf_dir):
+    """Items of an order assigned to a disturbed copy of them."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    gold = F.struct(F.col("l_quantity").cast("string").alias("qty"), F.col("p_name").alias("description"), F.col("p_brand").alias("catalog_number"), F.col("l_returnflag").alias("mfr"), F.col("l_linestatus").alias("finish"))
+    changed = F.struct(F.col("l_quantity").cast("string").alias("qty"), F.when(F.col("l_linenumber") % 3 == 0, F.reverse("p_name")).otherwise(F.upper("p_name")).alias("description"), F.when(F.col("l_linenumber") % 4 == 0, None).otherwise(F.col("p_brand")).alias("catalog_number"), F.col("l_returnflag").alias("mfr"), F.col("l_linestatus").alias("finish"))
+    pairs = items.groupBy(F.col("l_orderkey").alias("set_key")).agg(F.array_sort(F.collect_list(gold)).alias("gold"), F.array_sort(F.collect_list(F.when(F.col("l_linenumber") != 5, changed))).alias("predicted"))
+    return assignment.match_rows(pairs).select(F.col("set_key").cast("long").alias("o_orderkey"), "gold_row", "predicted_row", F.round("weight", 6).alias("weight"))
+
+
+@query
+def ratio_similarity(spark, sf_dir):
+    """Each part's name against its type, and both normalized."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(T.ratio("p_name", "p_type"), 9).alias("ratio"), T.normalize(F.concat(F.lit("  ﬁne "), "p_type")).alias("normalized"))
