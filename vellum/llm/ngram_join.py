@@ -24,6 +24,7 @@ table gives no rows; ids may be null or repeat; columns other than the id and th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ ALIKE = 0.7
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 #: Sets in a block: GROWTH times the square root of the component, from BLOCK to BLOCK_MOST. So k sets make about k ** 1.5 / GROWTH rows.
 BLOCK, GROWTH, BLOCK_MOST = 64, 8, 2048
+#: Paths that one task takes, about; the number of tasks follows the paths.
+TASK_PATHS = 20_000
 #: Candidates up to so many are broadcast to the texts (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -110,16 +113,18 @@ def paths(reps: DataFrame, runs: int = RUNS) -> tuple[list[DataFrame], list[Data
     leaves, alike = [], []
     roots = F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)]))
     level = _split(reps.select("rep", "sig", roots.alias("path"), F.lit(1 << 60).alias("parent")))
+    tasks = max(1, math.ceil(reps.count() * runs / TASK_PATHS))
     for depth in range(DEPTH):
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = checkpoint(level.join(sizes, "path"))
+        level = checkpoint(level.join(sizes, "path").coalesce(tasks))
         ends = (F.col("size") >= ALIKE * F.col("parent")) | F.lit(depth == DEPTH - 1)
         leaves.append(level.where(F.col("size") <= LEAF).select("rep", "path"))
         alike.append(level.where((F.col("size") > LEAF) & ends).select("rep", "path"))
         large = level.where((F.col("size") > LEAF) & ~ends)
-        if large.isEmpty():
+        tasks = math.ceil(large.count() / TASK_PATHS)
+        if not tasks:
             break
-        level = _split(large.select("rep", "path", F.col("size").alias("parent")).join(reps, "rep"))
+        level = _split(large.select("rep", "path", F.col("size").alias("parent")).join(reps, "rep").coalesce(tasks))
     return leaves, alike
 
 
