@@ -413,7 +413,7 @@ def schedule_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     placed = cells.select("doc_id", "page", "y", "c.role", F.posexplode(parts).alias("k", "p"))
     y = F.col("y").cast("double")
     words_ = placed.select("doc_id", "page", (F.col("y") * 1000 + F.col("role") * 100 + F.col("k")).cast("int").alias("word_seq"), F.col("p.x").alias("x0"), y.alias("y0"), (F.col("p.x") + 5 * F.length("p.w")).alias("x1"), (y + 9).alias("y1"), F.col("p.w").alias("text"), F.lit(False).alias("rotated"))
-    facts = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.lit(612.0).alias("width"), F.lit(2000.0).alias("height"), F.lit(False).alias("ocr"))
+    facts = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("ocr"))
     return words_, facts
 
 
