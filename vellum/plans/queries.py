@@ -37,8 +37,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.derive_words(lines(spark, sf_dir))
 
 
-#: A heading among the documents' lines: a short first sentence that stands alone.
-HEADER = F.col("line").rlike(r"^[^\s]+( [^\s]+){0,2}\.$")
+def is_heading() -> Column:
+    """A heading among the documents' lines: a short sentence that stands alone."""
+    return F.col("line").rlike(r"^[^\s]+( [^\s]+){0,2}\.$")
 
 
 @query
@@ -49,7 +50,7 @@ def doc_lines(spark, sf_dir):
 @query
 def sections(spark, sf_dir):
     """The flagship: lines in sections by heading, each heading carried forward, and the rows of each section."""
-    found = segments.sections(lines(spark, sf_dir), ["doc_id"], ["line_no"], HEADER, F.col("line"))
+    found = segments.sections(lines(spark, sf_dir), ["doc_id"], ["line_no"], is_heading(), F.col("line"))
     return found.groupBy("doc_id", "section_no", "header").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -202,7 +203,7 @@ def box_coverage(spark, sf_dir):
 @query
 def header_evidence(spark, sf_dir):
     found = segments.evidence(lines(spark, sf_dir), ["doc_id"], ["line_no"], F.length("line") > 400)
-    return found.where(HEADER).select("doc_id", "line_no", "has_evidence")
+    return found.where(is_heading()).select("doc_id", "line_no", "has_evidence")
 
 
 @query
@@ -307,7 +308,7 @@ def line_gaps(spark, sf_dir):
 @query
 def nearest_anchor(spark, sf_dir):
     """Lines and their nearest heading line, before or after."""
-    return segments.nearest_anchor(lines(spark, sf_dir), ["doc_id"], ["line_no"], "line_no", HEADER).select("doc_id", "line_no", known("anchor"))
+    return segments.nearest_anchor(lines(spark, sf_dir), ["doc_id"], ["line_no"], "line_no", is_heading()).select("doc_id", "line_no", known("anchor"))
 
 
 @query

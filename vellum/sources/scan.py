@@ -83,20 +83,18 @@ CHAR, LEADING, HEIGHT, PAGE_LINES = 6, 12, 10, 50
 def derive_words(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Words with boxes from plain lines, at fixed pitch; pages of PAGE_LINES lines. Empty tokens hold their place and are then dropped.
 
-    A word's place is a sum over its line's array, so no shuffle is needed."""
-    parts = F.split("line", " ", -1)
-    step = lambda acc, w: F.struct((acc["x"] + F.length(w) + 1).alias("x"), F.concat(acc["out"], F.array(F.struct(acc["x"].alias("x"), w.alias("w")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("x"), F.array().cast("array<struct<x:int,w:string>>").alias("out"))
-    placed = lines.select(id_col, "line_no", F.posexplode(F.aggregate(parts, zero, step)["out"]).alias("k", "p")).where("p.w <> ''")
+    A word's place is the length of the line before it, so no shuffle and no state is needed."""
+    placed = lines.select(id_col, "line_no", "line", F.posexplode(F.split("line", " ", -1)).alias("k", "w")).where("w <> ''")
+    x = F.expr("if(k = 0, 0, length(substring_index(line, ' ', k)) + 1)")
     y: Column = ((F.col("line_no") - 1) % PAGE_LINES) * LEADING
     return placed.select(
         id_col,
         (F.floor((F.col("line_no") - 1) / PAGE_LINES) + 1).cast("int").alias("page"),
         "line_no",
         (F.col("k") + 1).cast("long").alias("k"),
-        F.col("p.w").alias("text"),
-        (F.col("p.x") * CHAR).cast("long").alias("x0"),
+        F.col("w").alias("text"),
+        (x * CHAR).cast("long").alias("x0"),
         y.cast("long").alias("y0"),
-        ((F.col("p.x") + F.length("p.w")) * CHAR).cast("long").alias("x1"),
+        ((x + F.length("w")) * CHAR).cast("long").alias("x1"),
         (y + HEIGHT).cast("long").alias("y1"),
     )
