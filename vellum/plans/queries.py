@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import assignment, metrics, overlay, relate, segments
+from vellum.operators import assignment, audit, metrics, overlay, relate, segments
 from vellum.operators.lines import group_lines
 from vellum.plans.extract import extract
 from vellum.sources import scan
@@ -448,3 +448,13 @@ def assign_rows(spark, sf_dir):
 def ratio_similarity(spark, sf_dir):
     """Each part's name against its type, and both normalized."""
     return table(spark, sf_dir, "part").select("p_partkey", F.round(T.ratio("p_name", "p_type"), 9).alias("ratio"), T.normalize(F.concat(F.lit("  ﬁne "), "p_type")).alias("normalized"))
+
+
+@query
+def row_grounding(spark, sf_dir):
+    """Each line's text against the words in the box of the line below it, so that some are found and some not."""
+    w = words(spark, sf_dir)
+    boxes = w.groupBy("doc_id", "page", "line_no").agg(*G.union_box())
+    rows = boxes.join(lines(spark, sf_dir), ["doc_id", "line_no"])
+    below = rows.withColumns({"y0": F.col("y0") + scan.LEADING, "y1": F.col("y1") + scan.LEADING})
+    return audit.grounding(below, w, ["doc_id", "page"], "line_no", "line").select("doc_id", "line_no", "wanted", "found", "grounded")
