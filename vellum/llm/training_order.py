@@ -95,10 +95,10 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, pe
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, n, rows = encoder(tokenizer).encode, 0, 0
+        length_of, n, rows = encoder(tokenizer).count, 0, 0
         for batch in batches:
             rows += len(batch)
-            n += len(batch) + sum(len(encode(t)) for t in batch["text"])
+            n += len(batch) + sum(map(length_of, batch["text"]))
         if rows:
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "rows": [rows], "ids": [n]})
 
