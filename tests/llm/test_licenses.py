@@ -18,3 +18,35 @@ def test_scan_and_held_out(spark):
     n = len(L.MISLEADING)
     assert got == [(n + 3, 1, "mit"), (n + 3, 2, "reserved"), (n + 4, 1, "mpl")]
     assert L.scan(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_wrapped_notices():
+    model = L.train()
+    mit = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is"""
+    bsd = """# Copyright 2020 Some One. All rights reserved. Redistribution and use in
+# source and binary forms, with or without modification, are permitted
+# provided that the following conditions are met:"""
+    gnu = """/*
+ * Some program
+ *
+ * This {0} is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {1}General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() {{ return 0; }}"""
+    dnl = "dnl Permission to use, copy, modify, and/or distribute\ndnl this software for any purpose with or without\ndnl fee is hereby granted"
+    narrow = "word\n" * 3000 + "\n".join("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met".split()) + "\nword" * 3000
+    twice = "\n".join(["Released under the MIT", "License."] * 2)
+    blank = "All rights\n\nreserved. All rights\n * \nreserved"
+    texts = [mit, bsd, gnu.format("program", ""), gnu.format("library", "Lesser "), gnu.format("program", "Affero "), dnl, narrow, twice, blank, "\n".join(L.MISLEADING)]
+    got = [[(i, f) for i, f, _, _ in found] for found in L.judge(texts, model)]
+    assert got == [[(4, "mit")], [(0, "bsd"), (0, "reserved")], [(3, "gpl")], [(3, "lgpl")], [(4, "agpl")], [(0, "isc")], [(3000, "bsd")], [(0, "mit"), (2, "mit")], [], []]

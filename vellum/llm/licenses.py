@@ -1,13 +1,16 @@
 """Licence statements in texts: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line that isn't blank. Its features are its distinct words and pairs of adjacent
+A paragraph is a line that isn't blank, or a stretch of words that goes over lines that follow each
+other, none blank; a line with no letter or digit counts as blank, so that comment marks are left out. Its features are its distinct words and pairs of adjacent
 words, as far as training has seen them. A multinomial logistic regression tells the licence
 families and `unknown` apart; it learns from paragraphs made by rule from TEMPLATES and from
 ordinary and misleading paragraphs. A temperature fitted on held-out paragraphs calibrates its
 probabilities. A family is predicted where its probability is at least SURE.
 
 A prediction counts only if the paragraph also holds at least SIMILARITY of the three-word shingles
-of one of the family's templates.
+of one of the family's templates. Stretches over lines are those that hold so much of a template
+within twice its length; the classifier reads the stretch. Where statements overlap, the most similar
+one counts.
 
 Defined results: null, empty and blank texts have no paragraph; each paragraph is judged, however
 many a text has and however long it is; repeated rows are judged each; an empty table gives no
@@ -20,6 +23,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -161,6 +165,17 @@ class Model:
     temperature: float
     templates: list[list[set]]
 
+    @cached_property
+    def by_key(self) -> dict[int, list[tuple[int, int]]]:
+        """The (family, template)s that hold a shingle, by its key."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        n = len(self.ids)
+        for f, ts in enumerate(self.templates):
+            for t, held in enumerate(ts):
+                for a, b, c in held:
+                    out.setdefault((self.ids[a] * n + self.ids[b]) * n + self.ids[c], []).append((f, t))
+        return out
+
     def features(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """(row, feature), distinct, of word ids (-1: not known)."""
         n = len(self.ids)
@@ -183,6 +198,21 @@ class Model:
             logits[row[first]] += np.add.reduceat(self.weights[feature], first)
         return softmax(logits / self.temperature)
 
+    def place(self, ids: np.ndarray, line: np.ndarray, row: tuple) -> tuple[int, int]:
+        """(start, end) of a single line's statement among the words of its run: from the first to the last shingle of the template."""
+        here = np.flatnonzero(line == row[0]).tolist()
+        n = len(self.ids)
+        family = FAMILIES.index(row[1])
+        found: dict[int, list[int]] = {}
+        for i in here[: len(here) - 2]:
+            a, b, c = ids[i : i + 3].tolist()
+            if min(a, b, c) >= 0:
+                for f, t in self.by_key.get((a * n + b) * n + c, ()):
+                    if f == family:
+                        found.setdefault(t, []).append(i)
+        at = max(found.items(), key=lambda x: len(set(x[1])) / len(self.templates[family][x[0]]))[1]
+        return at[0], at[-1] + 3
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -227,8 +257,96 @@ def train(examples: list[tuple[str, int]] | None = None, steps: int = 150, ridge
     return model
 
 
+#: Words that begin each line of a comment in some languages.
+_MARK = re.compile(r"\s*(?:dnl|@?rem|c)\s", re.I)
+
+
+def joined(texts: list) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """(text, its lines with their numbers) of each run of two lines or more that hold words, comment marks taken off."""
+    for k, t in enumerate(texts):
+        if not isinstance(t, str) or "\n" not in t:
+            continue
+        run: list[tuple[int, str]] = []
+        for i, line in enumerate([*t.split("\n"), ""]):
+            if any(map(str.isalnum, line)):
+                run.append((i, line))
+                continue
+            if len(run) > 1:
+                marked = all(_MARK.match(x) for _, x in run)
+                yield k, [(n, _MARK.sub("", x, count=1)) for n, x in run] if marked else run
+            run = []
+
+
+def spans(at: list[int], which: list[int], template: int, n: int) -> Iterator[tuple[float, int, int]]:
+    """(similarity, start, end) of the stretches of words that hold SIMILARITY of a template of n shingles; at, which: places of its shingles."""
+    held: dict[int, int] = {}
+    last = 0
+    for first in range(len(at)):
+        while last < len(at) and at[last] < at[first] + 2 * template:
+            held[which[last]] = held.get(which[last], 0) + 1
+            last += 1
+        if len(held) >= SIMILARITY * n:
+            yield len(held) / n, at[first], at[last - 1] + 3
+        held[which[first]] -= 1
+        if not held[which[first]]:
+            del held[which[first]]
+
+
+def judge_joined(texts: list, model: Model, memo: Memo, out: list[list[tuple]]) -> None:
+    """Puts into `out`, which holds the statements of single lines, those that go over lines."""
+    get = memo.__getitem__
+    runs = [(k, [i for i, _ in run], [[i for token in line.split() for i in get(token)] for _, line in run]) for k, run in joined(texts)]
+    if not runs:
+        return
+    n = len(model.ids)
+    flat = np.array([i for _, _, rows in runs for r in [*rows, [-1]] for i in r], np.int64)
+    three = np.flatnonzero((flat[:-2] >= 0) & (flat[1:-1] >= 0) & (flat[2:] >= 0)) if len(flat) > 2 else np.zeros(0, np.int64)
+    table = model.by_key
+    keys = (flat[three] * n + flat[three + 1]) * n + flat[three + 2]
+    hit = np.isin(keys, np.fromiter(table, np.int64, len(table)))
+    three, keys = three[hit], keys[hit]
+    ends = np.cumsum([sum(map(len, rows)) + 1 for _, _, rows in runs])
+    bounds = np.searchsorted(three, np.concatenate([[0], ends]))
+    found: list[tuple[int, float, int, int, int]] = []  # run, similarity, start, end, family
+    lines_of: dict[int, np.ndarray] = {}
+    for q in np.flatnonzero(np.diff(bounds)).tolist():
+        base = int(ends[q - 1]) if q else 0
+        by: dict[tuple[int, int], tuple[list, list]] = {}
+        for at, key in zip((three[bounds[q] : bounds[q + 1]] - base).tolist(), keys[bounds[q] : bounds[q + 1]].tolist(), strict=True):
+            for t in table[key]:
+                places, which = by.setdefault(t, ([], []))
+                places.append(at)
+                which.append(key)
+        line = lines_of[q] = np.repeat(runs[q][1], [len(r) for r in runs[q][2]])
+        for (f, t), (places, which) in by.items():
+            size = len(model.templates[f][t])
+            if len(set(which)) >= SIMILARITY * size:
+                found.extend((q, s, a, b, f) for s, a, b in spans(places, which, size + 2, size) if line[a] != line[b - 1])
+    if not found:
+        return
+    start = [int(ends[q - 1]) if q else 0 for q, *_ in found]
+    p = np.concatenate([model.probabilities([flat[o + a : o + b].tolist() for o, (_, _, a, b, _) in zip(start[c : c + 5000], found[c : c + 5000], strict=True)]) for c in range(0, len(found), 5000)])
+    family, sure = p.argmax(1), p.max(1)
+    new: dict[int, list[tuple]] = {}
+    for (q, s, a, b, f), g, x in zip(found, family.tolist(), sure.tolist(), strict=True):
+        if f == g and x >= SURE:
+            new.setdefault(q, []).append((s, a, b, f, x))
+    for q, some in new.items():
+        k, line = runs[q][0], lines_of[q]
+        ids = flat[ends[q] - 1 - len(line) : ends[q] - 1]
+        # Where statements overlap, the most similar stays; of equal ones a single line's, then the shortest.
+        rivals = [(-s, b - a, a, b, (int(line[a]), FAMILIES[f], x, s)) for s, a, b, f, x in some]
+        rivals += [(-row[3], 0, *model.place(ids, line, row), row) for row in out[k] if line[0] <= row[0] <= line[-1]]
+        taken, kept = np.zeros(len(line), bool), []
+        for _, _, a, b, row in sorted(rivals):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                kept.append(row)
+        out[k] = sorted([*(row for row in out[k] if not line[0] <= row[0] <= line[-1]), *kept])
+
+
 def judge(texts: list, model: Model, memo: Memo | None = None) -> list[list[tuple]]:
-    """For each text (paragraph, family, probability, similarity) of the paragraphs that state a licence."""
+    """For each text (line, family, probability, similarity) of the paragraphs that state a licence."""
     if memo is None:
         memo = Memo(lambda token: [model.ids.get(w, -1) for w in words(token)])
     lines = [(k, i, line) for k, t in enumerate(texts) if isinstance(t, str) for i, line in enumerate(t.split("\n")) if line.strip()]
@@ -244,11 +362,12 @@ def judge(texts: list, model: Model, memo: Memo | None = None) -> list[list[tupl
         similarity = max(len(t & have) / len(t) for t in model.templates[f])
         if similarity >= SIMILARITY:
             out[k].append((i, FAMILIES[f], float(p[at, f]), similarity))
+    judge_joined(texts, model, memo, out)
     return out
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (its line from 0), family, probability, similarity of each licence statement."""
+    """doc_id, paragraph (its first line from 0), family, probability, similarity of each licence statement."""
     model = model or train()
     names = ("paragraph", "family", "probability", "similarity")
 
