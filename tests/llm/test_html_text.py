@@ -58,3 +58,32 @@ def test_page(spark, model):
     assert by[1] == "A & B\nFirst line goes on.\nBold.\nx < y © with a link inside.\nOne point.\nTwo points."
     assert by[2] == by[3] == "" and len(by[4].split()) == 60001
     assert H.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def texts(source):
+    forest = H.Forest()
+    forest.add_page(0, source)
+    return [t for _, _, t in forest.runs]
+
+
+def test_open_elements_end_with_their_parent():
+    body = "<article><p>One.</p></article>"
+    whole = [
+        "<head><title>T</title><meta charset=x>" + body,
+        "<head><title>T</title><body>" + body,
+        "<head><title>T<body>" + body,
+        "<head><script src='a.js'></head><body>" + body + "<script>b</script>",
+        "<head><script>var a = '</head>';</script><noscript><style>p{}</noscript></head>" + body,
+        "<head><!-- open <style>p{}</style></head><body>" + body,
+        "<head><svg class='i'/>" + body,
+        "<div><svg class='i'/>" + body + "</div><svg><title>t</title><path/></svg>",
+        "<div><svg class='i'><path d='z'></div>" + body,
+        "<a href='/'><svg class='i'><path d='z'></a>" + body,
+        "<svg><g><svg>t</svg>t</g>t</svg><svg><text>t<p>One.</p>",
+        "<div><select><option>t</div>" + body,
+        "<div><noscript>t<iframe src=x></noscript><template>t<template>t</template>t</template></div>" + body,
+        "<div><noscript>t</div>" + body + "<div><template><b>t</div>",
+        "<select-box></select-box><svg-icon></svg-icon>" + body,
+    ]
+    assert [texts(w) for w in whole] == [["One."]] * len(whole)
+    assert texts("a<svg><text>t</text></svg>b <script>x</script><select><option>t</select>c") == ["ab c"]

@@ -11,7 +11,8 @@ Labelled pages are HTML whose elements carry data-label="content" or "other"; a
 what lies below, up to the next label. training_pages() makes some by rule, of several layouts.
 
 Defined results: null and empty html give empty text; unclosed and misnested tags close as browsers
-close them, nearly; what isn't a tag is text; an empty table gives no rows; repeated pages are extracted
+close them, nearly (a head ends at what it can't hold, an open svg, select, noscript or template with its
+parent, an open script or the like in a head with the head); what isn't a tag is text; an empty table gives no rows; repeated pages are extracted
 each; other columns are carried.
 """
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,15 +33,19 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import text_chunks
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|head)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Left out with what they hold: RAW up to the end tag, whatever lies between, SKIPPED by their tags.
+RAW, SKIPPED = frozenset("script style textarea title iframe".split()), frozenset("noscript template svg select".split())
+#: What a head may hold; all else ends it.
+_IN_HEAD = frozenset("html head base link meta title script style noscript template".split())
+#: Start tags that end an svg.
+_NOT_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_SVG_HTML = frozenset("foreignobject desc title".split())
+_PAGE_TAGS = frozenset("html head body".split())
 #: Elements that an element of this name closes, if open within the nearest container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -63,6 +70,26 @@ KINDS = 3  # of edges: to a run of text, to a block of text, to a container
 _TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th pre blockquote figcaption".split())
 
 
+@cache
+def _end_tag(names: str) -> re.Pattern:
+    return re.compile(rf"<(?:/({names})(?=[\s/>])[^>]*>" + (r"|body\b)" if "head" in names else ")"), re.I)
+
+
+def _raw_end(source: str, at: int, tag: str, attributes: str, skipped: str, in_head: bool) -> int:
+    """Where a RAW element ends whose text begins at `at`: with its end tag, or before that of the skipped element or head around it, if that comes first."""
+    if skipped or (in_head and (tag != "script" or re.search(r"\ssrc\s*=", attributes, re.I))):
+        m = _end_tag(f"{tag}|{skipped or 'head'}").search(source, at)
+    else:
+        m = _end_tag(tag).search(source, at)
+        if in_head and (left := _end_tag("head").search(source, at, m.start() if m else len(source))):
+            # A script may hold the text </head>; one with a start tag of another script after it was left open.
+            if not m or re.search(r"<script\b", source[left.end() : m.start()], re.I):
+                m = left
+    if not m:
+        return len(source)
+    return m.end() if (m[1] or "").lower() == tag else m.start()
+
+
 @dataclass
 class Forest:
     """Variables of many pages, parents before children."""
@@ -106,24 +133,67 @@ class Forest:
                 run.clear()
                 linked = 0
 
-        last = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > last:
-                run.append(text := source[last : m.start()])
+        pos, in_head = 0, False
+        skipped: list[str] = []  # a SKIPPED element that is open, and the elements open in it
+        inline: Counter[str] = Counter()  # inline elements that are open
+        while m := _TOKEN.search(source, pos):
+            if m.start() > pos and not skipped:
+                run.append(text := source[pos : m.start()])
                 linked += len(text) if in_link else 0
-            last = m.end()
-            tag = m[3]
+                in_head = in_head and text.isspace()
+            pos = m.end()
+            tag, closes = m[2], bool(m[1])
             if tag is None:
+                if in_head and m[0].startswith("<!--") and not m[0].endswith("-->") and (left := _end_tag("head").search(source, m.start())):
+                    pos = left.start()
                 continue
             tag = tag.lower()
+            if skipped:
+                if closes:
+                    if tag in skipped:
+                        while skipped.pop() != tag:
+                            pass
+                        continue
+                    if tag not in _PAGE_TAGS and not inline[tag] and all(t != tag for t, _ in stack):
+                        continue
+                elif tag == "select" == skipped[0]:
+                    skipped.clear()
+                    continue
+                elif not (
+                    tag == "body"
+                    or (skipped[0] == "svg" and tag in _NOT_SVG and _SVG_HTML.isdisjoint(skipped))
+                    or (skipped[0] == "select" and tag in ("input", "textarea"))
+                ):
+                    if tag in RAW and skipped[0] != "svg":
+                        pos = _raw_end(source, pos, tag, m[3], skipped[0], in_head)
+                    elif tag not in VOID and not (skipped[0] == "svg" and m[3].endswith("/")):
+                        skipped.append(tag)
+                    continue
+                skipped.clear()  # it ends with its parent, or before what it can't hold
+            if tag == "head":
+                in_head = not closes
+                continue
+            if not closes:
+                in_head = in_head and tag in _IN_HEAD
+                if tag in RAW:
+                    pos = _raw_end(source, pos, tag, m[3], "", in_head)
+                    continue
+                if tag in SKIPPED:
+                    if not (tag == "svg" and m[3].endswith("/")):
+                        skipped.append(tag)
+                    continue
+            elif tag in RAW or tag in SKIPPED:
+                continue
             if tag in INLINE:
+                if tag not in VOID:
+                    inline[tag] = max(0, inline[tag] + (-1 if closes else 1))
                 if tag == "a":
-                    in_link = 0 if m[2] else 1
+                    in_link = 0 if closes else 1
                 elif tag == "br":
                     run.append(" ")
                 continue
             end_run()
-            if m[2]:
+            if closes:
                 if any(t == tag for t, _ in stack):
                     while stack[-1][0] != tag:
                         stack.pop()
@@ -140,11 +210,11 @@ class Forest:
                         break
                     k -= 1
             at = stack[-1][1]
-            hits, label = _element(tag, m[4], self.label[at])
+            hits, label = _element(tag, m[3], self.label[at])
             if tag not in VOID:
                 stack.append((tag, self.add(at, 1 if tag in _TEXTUAL else 2, hits, label)))
-        if last < len(source):
-            run.append(source[last:])
+        if pos < len(source) and not skipped:
+            run.append(source[pos:])
         end_run()
 
 
