@@ -99,3 +99,36 @@ def test_windows_leave_one_whole():
         assert starts[0] == 0 and starts[-1] + size == n
     assert D.windows(4) == (0, []) and D.windows(9) == (9, [0])
     assert pd.Series(D.windows(200)[1]).diff().dropna().le(24).all()
+
+
+def test_every_change_of_the_least_similarity_leaves_a_window_whole():
+    for n in range(5, 150):
+        size, starts = D.windows(n)
+        spans = [(s, s + w) for w, s in [*((size, s) for s in starts), *D.inner_windows(n)]]
+        whole = [min((b for a, b in spans if a >= p), default=n + 1) for p in range(n + 1)]
+        least = {-1: 0}  # changed shingles, at least, if word q is changed and no window before it is whole
+        for q in range(n + 1):
+            new = lambda p: max(0, min(q, n - 5) - max(q - 4, 0, p + 1) + 1) if q < n else 0
+            least[q] = min((least[p] + new(p) for p in range(-1, q) if whole[p + 1] > q), default=n)
+        assert least[n] * 9 > n - 4, n
+        for cut in range((n - 4) // 5 + 1):
+            assert all(any(a >= x and b <= n - cut + x for a, b in spans) for x in range(cut + 1)), n
+
+
+def test_changes_at_both_ends_are_found():
+    r = random.Random(5)
+    items, docs = [], []
+    for n, changed in ((13, [0]), (13, [12]), (14, [0]), (14, [13]), (22, [0, 21]), (44, [1, 42]), (48, [1, 46]), (58, [0, 40])) * 12:
+        v = words(r, n)
+        items.append((len(items), " ".join(v)))
+        for p in changed:
+            v[p] = "changed"
+        docs.append((len(docs), " ".join(words(r, 20) + v + words(r, 20))))
+    for n, a, b in ((9, 0, 8), (9, 1, 9), (14, 0, 12), (14, 1, 13), (30, 2, 27), (48, 4, 44)) * 4:
+        v = words(r, n)
+        items.append((len(items), " ".join(v)))
+        docs.append((len(docs), " ".join(v[a:b])))
+    searcher = D.Searcher(items)
+    found = {(d, i): round(s, 9) for (d, _), hits in zip(docs, searcher.search(pd.Series([t for _, t in docs])), strict=True) for i, s, _, _ in hits}
+    want = brute(docs, items)
+    assert found == want and len(want) == len(items)

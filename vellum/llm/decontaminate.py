@@ -5,7 +5,8 @@ of at least LEAST words enters by windows of the largest size of a short list (1
 words) that fits it with four words to spare, two times over for items of 49 words or more. The
 item is tiled with such windows from its start and one more ends with it. A document has a
 window of each of these sizes at every word. A passage similar to an item at 0.8 or more can
-differ at few places, and then leaves one of the item's windows nearly as it was.
+differ at few places. Further windows lie away from both ends, so that wherever its words are changed, or
+its ends cut off, one of the item's windows is left as it was (tests go through all item sizes).
 
 Fingerprints. A window's 64-bit SimHash sums its shingles' hash bits. All windows of a batch are
 summed at once: eight bits lie in the eight bytes of a word, so that a difference of two running
@@ -25,7 +26,7 @@ The benchmark goes to all executors, as its whole text is checked against MOST_B
 a larger one is searched in parts of that size.
 
 Defined results: null and empty texts have no window; items of fewer than five words match nothing;
-items of 5 to 14 words enter whole; repeated items and documents are matched each; an empty table
+items of 5 to 14 words enter whole, and from 9 words without their ends besides; repeated items and documents are matched each; an empty table
 on either side gives no rows; find() leaves other columns out, drop() carries them.
 """
 
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batch_hashes, shingle_hashes, text_chunks, word_hashes
+from vellum.llm.common import batch_hashes, chunks, shingle_hashes, text_chunks, word_hashes
 
 WIDTH, SIMILARITY, RADIUS, SLACK = 5, 0.8, 7, 2
 SIZES, LEAST = (24, 19, 15, 11), 15
@@ -62,6 +63,20 @@ def windows(n: int) -> tuple[int, list[int]]:
     return size, sorted({*range(0, n - size + 1, size), n - size})
 
 
+def inner_windows(n: int) -> list[tuple[int, int]]:
+    """(size, start) of the windows besides, such that a passage of similarity SIMILARITY leaves one whole, wherever it is changed or cut."""
+    edge = max(0, n - WIDTH + 1) // 5  # so many shingles may be missing at the ends together
+    if not edge:
+        return []
+    if n < LEAST:
+        return [(n - 2 * edge, edge)]
+    if n < 49:
+        size = next(w for w in SIZES if w <= n - 2 * edge)
+        return [(size, (n - size) // 2)]
+    size, starts = windows(n)
+    return [(size, s) for s in sorted({*range(4, n - size - 3, size), n - size - 4} - set(starts))]
+
+
 def running(shingles: np.ndarray) -> list[np.ndarray]:
     """Running sums of the hash bits, eight arrays of eight byte-wide lanes, with a zero before."""
     out = []
@@ -95,34 +110,37 @@ class Index:
     items: np.ndarray
     starts: np.ndarray
     tables: np.ndarray
+    firsts: np.ndarray  # of each block and value: where its windows begin in `members`
+    members: np.ndarray
 
     @staticmethod
     def of(size: int, found: list[tuple[int, int, int]]) -> Index:
         prints = np.array([f[0] for f in found], np.uint64)
         near = np.array([0, *(1 << b for b in range(16))], np.int64)
-        tables = np.zeros((4, 1 << 16), bool)
+        values, who = [], np.repeat(np.arange(len(prints)), len(near))
         for k in range(4):
             block = ((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
-            tables[k, (block[:, None] ^ near[None]).ravel()] = True
-        return Index(size, prints, np.array([f[1] for f in found]), np.array([f[2] for f in found]), tables)
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """Places in `prints` that may be within the radius of a window."""
-        may = np.zeros(len(prints), bool)
-        for k, b in enumerate(prints.view("<u2").reshape(-1, 4).T):
-            may |= self.tables[k][b]
-        return np.flatnonzero(may)
+            values.append((k << 16) + (block[:, None] ^ near[None]).ravel())
+        value = np.concatenate(values)
+        firsts = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=4 << 16))])
+        members = np.tile(who.astype(np.int32), 4)[np.argsort(value, kind="stable")]
+        return Index(size, prints, np.array([f[1] for f in found]), np.array([f[2] for f in found]), (np.diff(firsts) > 0).reshape(4, -1), firsts, members)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (place in prints, window) within the radius."""
-        at, who = [], []
-        found = self.candidates(prints)
-        for part in np.array_split(found, max(1, len(found) * len(self.prints) // 4_000_000)):
-            near = np.bitwise_count(prints[part][:, None] ^ self.prints[None]) <= RADIUS
-            a, b = np.nonzero(near)
-            at.append(part[a])
-            who.append(b)
-        return np.concatenate(at), np.concatenate(who)
+        keys = [np.zeros(0, np.int64)]
+        for k, b in enumerate(prints.view("<u2").reshape(-1, 4).T):
+            found = np.flatnonzero(self.tables[k][b])
+            value = (k << 16) + b[found].astype(np.int64)
+            count = self.firsts[value + 1] - self.firsts[value]
+            for part in chunks(count, 2_000_000) if count.sum() > 2_000_000 else [slice(0, len(count))]:
+                n = count[part]
+                at = np.repeat(found[part], n)
+                who = self.members[np.repeat(self.firsts[value[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                near = np.bitwise_count(prints[at] ^ self.prints[who]) <= RADIUS
+                keys.append(at[near] * len(self.prints) + who[near])
+        every = np.unique(np.concatenate(keys))
+        return every // len(self.prints), every % len(self.prints)
 
 
 def fingerprints(h: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
@@ -135,9 +153,10 @@ def build(items: list[tuple[int, np.ndarray]]) -> list[Index]:
     by: dict[int, list] = {}
     for i, h in items:
         size, starts = windows(len(h))
-        if starts:
-            prints = fingerprints(h, [size])[size]
-            by.setdefault(size, []).extend((int(prints[s]), i, s) for s in starts)
+        places = [*((size, s) for s in starts), *inner_windows(len(h))]
+        prints = fingerprints(h, sorted({w for w, _ in places})) if places else {}
+        for w, s in places:
+            by.setdefault(w, []).append((int(prints[w][s]), i, s))
     return [Index.of(size, found) for size, found in sorted(by.items())]
 
 
@@ -147,10 +166,10 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 def best_window(text: np.ndarray, at: int, item: Counter, n: int) -> tuple[float, int]:
-    """(similarity, start) of the best of the n-word windows of text that begin near `at`; windows end with the text. shingles of text, not words."""
+    """(similarity, start) of the best of the n-word windows of text that begin near `at`; windows begin in the text and end with it. shingles of text, not words."""
     most = (0.0, 0)
-    for start in sorted(range(at - SLACK, at + SLACK + 1), key=lambda s: abs(s - at)):
-        a, b = max(0, start), min(len(text), start + n - WIDTH + 1)
+    for start in sorted({max(0, s) for s in range(at - SLACK, at + SLACK + 1)}, key=lambda s: abs(s - at)):
+        a, b = start, min(len(text), start + n - WIDTH + 1)
         if a < b and (found := (weighted_similarity(Counter(text[a:b].tolist()), item), a))[0] > most[0]:
             most = found
     return most
