@@ -2,6 +2,9 @@
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from vellum.llm import warc
 from vellum.llm.common import new_folder
 
@@ -37,3 +40,22 @@ def test_empty_and_repeated(spark):
     again = [(1, "u", "a" * 200), (1, "u", "a" * 200), (None, "u", "b" * 200), (2, "u", "b" * 200)]
     got = warc.read(warc.write(spark.createDataFrame(again, "page_id long, url string, html string"), folder), folder).collect()
     assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got) == [("1", "response", "None")] * 2 + [("2", "revisit", "None"), ("None", "response", "None")]
+
+
+def test_a_url_of_any_length_and_other_columns(spark):
+    long = "x" * 17_000_000
+    pages = [(1, long, "a" * 200, "f"), (2, "u", "b", "g"), (3, "u" * 9000, "WARC/1.1\r\n" * 3000, "h")]
+    folder = new_folder(spark, "warc-test")
+    files = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string, file string").repartition(1), folder)
+    for span in (warc.RANGE, 1 << 20):
+        got = warc.read(files, folder, span).collect()
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(1, 200), (2, 1), (3, 30000)]
+
+
+def test_a_lost_record_is_an_error(spark):
+    folder = new_folder(spark, "warc-test")
+    files = warc.write(spark.createDataFrame([(i, "u", "a" * 300) for i in range(9)], "page_id long, url string, html string").repartition(1), folder)
+    with pytest.raises(Exception, match="can't be read"):
+        warc.read(files.withColumn("records", F.col("records") + 1), folder)
+    with pytest.raises(Exception, match="can't be read"):
+        warc.read(files.withColumn("size", F.col("size") - 3), folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -9,13 +10,16 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if the master is local (tests), else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -41,10 +45,43 @@ def open_store(uri: str):
 
 
 def remove(uri: str) -> None:
+    """Deletes a folder that new_folder() has named, once nothing reads it any more."""
     store, path = open_store(uri)
     store.delete_dir(path)
 
 
+#: A key with more rows than this, and than this share of all rows, is broadcast by join_groups(): at most HEAVY_MOST keys.
+HEAVY_ROWS, HEAVY_MOST = 1_000, 100_000
+#: Rows that one task of join_groups() takes, about.
+TASK_ROWS = 200_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined on keys with groups: one row for each key, with the number n of the key's rows. total: of all rows.
+
+    A key that holds many rows is broadcast and its rows stay where they are; there are at most HEAVY_MOST such keys,
+    since each holds more than that share of the rows. All others are shuffled, in tasks that follow `total`."""
+    least = max(HEAVY_ROWS, total // HEAVY_MOST)
+    tasks = max(1, math.ceil(total / TASK_ROWS))
+    heavy = F.broadcast(groups.where(F.col(n) > least))
+    here = rows.join(heavy, keys)
+    rest = rows.join(F.broadcast(groups.where(F.col(n) > least).select(*keys)), keys, "left_anti").repartition(tasks, *keys)
+    return here.unionByName(rest.join(groups.where(F.col(n) <= least).repartition(tasks, *keys), keys, how))
+
+
+def free_names(wanted: list[str], taken: list[str]) -> dict[str, str]:
+    """For each wanted name that is taken the first of name_1, name_2, ... that isn't (names differ by more than case)."""
+    used, out = {t.lower() for t in taken} | {w.lower() for w in wanted}, {}
+    for t in taken:
+        if t.lower() in {w.lower() for w in wanted}:
+            k = 1
+            while f"{t}_{k}".lower() in used:
+                k += 1
+            out[t] = f"{t}_{k}"
+            used.add(out[t].lower())
+    return out
+
+
 #: A worker's memory of words holds so many entries, then starts afresh.
 MEMO = 400_000
 
@@ -114,19 +151,22 @@ def text_chunks(texts: pd.Series, budget: int = 1_000_000) -> list[slice]:
 
 def sorted_groups(batches, keys: list[str]):
     """The groups of a stream of DataFrames that is sorted by keys, each as one DataFrame; a group may lie across batches."""
-    rest = None
+    held: list[pd.DataFrame] = []
+    whole = lambda: held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
     for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
         if not len(batch):
             continue
         changed = np.zeros(len(batch), bool)
         for k in keys:
             v = batch[k].to_numpy()
             changed[1:] |= v[1:] != v[:-1]
-        at = [0, *np.flatnonzero(changed).tolist()]
-        for a, b in zip(at, at[1:], strict=False):
-            yield batch.iloc[a:b]
-        rest = batch.iloc[at[-1] :]
-    if rest is not None and len(rest):
-        yield rest
+            changed[0] |= bool(held) and held[-1][k].iloc[-1] != v[0]
+        start = 0
+        for at in np.flatnonzero(changed).tolist():
+            if at:
+                held.append(batch.iloc[start:at])
+            yield whole()
+            held, start = [], at
+        held.append(batch.iloc[start:])
+    if held:
+        yield whole()

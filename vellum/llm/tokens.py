@@ -1,8 +1,8 @@
 """Token ids of texts, the same as the tokenizers library gives for byte_bpe_50k.json.
 
 The same merges lie beside the tokenizer file as ranks, and are read by a library that encodes a text
-several times as fast. Texts that hold a special token's string go through the tokenizers library
-itself, and so does everything when there is no rank file.
+several times as fast. Texts that hold a special token's string or a long run of white space, on which
+that library fails, go through the tokenizers library itself, and so does everything when there is no rank file.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ import re
 import numpy as np
 
 
+#: Runs of white space from this length on are left to the tokenizers library.
+_LONG_RUN = re.compile(r"\s{2000}")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -39,19 +43,25 @@ class Encoder:
             self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def _plain(self, text: str) -> bool:
-        return self.ranked is not None and not any(s in text for s in self.special)
+        return self.ranked is not None and not any(s in text for s in self.special) and not _LONG_RUN.search(text)
 
-    def encode(self, text) -> np.ndarray:
-        """Null counts as empty."""
+    def _ids(self, text) -> list[int]:
         text = text if isinstance(text, str) else ""
         if self._plain(text):
-            return np.array(self.ranked.encode_ordinary(text), np.uint32)
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            try:
+                return self.ranked.encode_ordinary(text)
+            except BaseException as error:  # the encoder's panics are no Exceptions
+                if type(error).__name__ != "PanicException":
+                    raise
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text) -> np.ndarray:
+        """Null counts as empty."""
+        return np.array(self._ids(text), np.uint32)
 
     def count(self, text) -> int:
         """len(encode(text))."""
-        text = text if isinstance(text, str) else ""
-        return len(self.ranked.encode_ordinary(text)) if self._plain(text) else len(self.whole.encode(text, add_special_tokens=False).ids)
+        return len(self._ids(text))
 
 
 _made: dict[str, Encoder] = {}

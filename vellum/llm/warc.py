@@ -11,15 +11,17 @@ where a record there would end (its successor). A payload can hold such a start,
 reached from the file's start is real. Chains are shortened inside a range first, to the place where
 they leave it. Pointer jumping over what remains doubles the distance with each round: it takes
 log2(ranges of a file) rounds of joins, not one for each record. Then the tasks read the records of
-their range from its first reachable one.
+their range from its first reachable one. A chain that doesn't reach its file's end, or a file with fewer or more
+records than were written, is an error: nothing is left out silently.
 
 Defined results: null html is an empty payload; rows that repeat a page_id with the same payload are
-responses each; a null page_id is smaller than all; line ends in a url are percent-encoded; an
-empty table gives no archive and no rows; other columns are left out.
+responses each; a null page_id is smaller than all; line ends in a url are percent-encoded, and it may be of
+any length; an empty table gives no archive and no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -41,7 +43,8 @@ BROADCAST_ROWS = 200_000
 MAGIC = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
-_LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n", re.I)
+END = b"\r\n\r\n"
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})(?=\r\n)", re.I)
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
@@ -111,37 +114,55 @@ class Bytes:
         n = max(0, min(n, self.size - offset))
         return self.file.read_at(n, offset) if n else b""
 
-    def head(self, offset: int, have: bytes = b"") -> bytes | None:
-        """The record header at offset, with its last empty line; null if there is none."""
-        n = HEAD
-        while True:
-            data = have if len(have) >= n else self.at(offset, n)
-            if not data.startswith(MAGIC):
-                return None
-            end = data.find(b"\r\n\r\n")
-            if end >= 0:
-                return data[: end + 4]
-            if offset + len(data) >= self.size or n > 1 << 22:
-                return None
-            n *= 4
-
-    def successor(self, offset: int, have: bytes = b"") -> int | None:
-        head = self.head(offset, have)
-        length = _LENGTH.search(head) if head else None
-        return offset + len(head) + int(length[1]) + 4 if length else None
+    def until_empty_line(self, offset: int, data: bytes, since: int) -> bytes:
+        """data, which lies at offset, and what follows up to the first empty line from `since` on, or to the file's end."""
+        parts, n = [data], HEAD
+        at, tail = offset + len(data), data[max(since, len(data) - len(END) + 1) :]
+        if data.find(END, since) >= 0:
+            return data
+        while at < self.size:
+            more = self.at(at, n)
+            parts.append(more)
+            if END in tail + more:
+                break
+            at, tail, n = at + len(more), (tail + more)[-len(END) + 1 :], min(n * 4, RANGE)
+        return b"".join(parts)
+
+    def head(self, offset: int) -> bytes:
+        """The header of the record at offset, with its empty line, however long it is."""
+        data = self.until_empty_line(offset, self.at(offset, HEAD), 0)
+        end = data.find(END)
+        if not data.startswith(MAGIC) or end < 0:
+            raise ValueError(f"no record at {offset}")
+        return data[: end + len(END)]
+
+
+def successors(source: Bytes, start: int, end: int) -> dict[int, int]:
+    """Of each place from start to end that looks like a record: where the next would begin. One search for empty lines and lengths for all of them."""
+    data = source.at(start, end - start + HEAD)
+    places, k = [], data.find(MAGIC)
+    while 0 <= k < end - start:
+        places.append(k)
+        k = data.find(MAGIC, k + 1)
+    if not places:
+        return {}
+    data = source.until_empty_line(start, data, places[-1])
+    lengths = [(m.start(), m.end(), int(m[1])) for m in _LENGTH.finditer(data)]
+    out, empty, before = {}, -1, len(data)
+    for place in reversed(places):
+        near = data.find(END, place, before + len(END) - 1)
+        empty, before = (near if near >= 0 else empty), place
+        at = bisect.bisect_left(lengths, (place,))
+        if empty >= 0 and at < len(lengths) and lengths[at][1] <= empty:
+            out[start + place] = start + empty + len(END) + lengths[at][2] + len(END)
+    return out
 
 
 def _candidates(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, size, start, end in batch[["file", "size", "start", "end"]].itertuples(index=False):
-                source = Bytes(folder, file, size)
-                data = source.at(start, end - start + HEAD)
-                places, k = [], data.find(MAGIC)
-                while 0 <= k < end - start:
-                    places.append(k)
-                    k = data.find(MAGIC, k + 1)
-                after = {start + k: s for k in places if (s := source.successor(start + k, data[k : k + HEAD])) is not None}
+                after = successors(Bytes(folder, file, size), start, end)
                 leaves: dict[int, int] = {}
                 for place in sorted(after, reverse=True):  # successors lie behind, so they are known
                     leaves[place] = leaves.get(after[place], after[place])
@@ -173,8 +194,6 @@ def _records(folder: str):
                 source, rows = Bytes(folder, file, size), []
                 while offset < end:
                     head = source.head(offset)
-                    if head is None:
-                        break
                     length = int(_LENGTH.search(head)[1])
                     kind, digest = value(head, b"WARC-Type"), value(head, b"WARC-Payload-Digest").removeprefix("sha256:")
                     n = int(value(head, b"X-Payload-Length"))
@@ -193,8 +212,11 @@ def _records(folder: str):
 
 
 def read(files: DataFrame, folder: str, span: int = RANGE) -> DataFrame:
-    """files: file, size. One row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset. Every response's digest is verified."""
-    files = files.where("size > 0").select("file", "size")
+    """files: file, size, and records where it is known. One row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset.
+
+    Every response's digest is verified, and that no file has lost a record."""
+    known = "records" if "records" in files.columns else F.lit(None).cast("long").alias("records")
+    files = files.where("size > 0").select("file", "size", known)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long")))
     ranges = files.withColumn("start", starts).withColumn("end", F.least(F.col("start") + span, F.col("size")))
     total = files.agg(F.sum(F.ceil(F.col("size") / span)).alias("n"), F.max(F.ceil(F.col("size") / span)).alias("most")).first()
@@ -202,5 +224,11 @@ def read(files: DataFrame, folder: str, span: int = RANGE) -> DataFrame:
     tasks = max(1, min(n, 20_000))
     found = checkpoint(ranges.repartition(tasks).mapInPandas(_candidates(folder), "file string, offset long, successor long, leaves long"))
     entries = reachable(found, most)
-    first = entries.join(files, "file").where("offset < size").withColumn("end", F.least((F.floor(F.col("offset") / span) + 1) * span, F.col("size")))
-    return first.repartition(tasks).mapInPandas(_records(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    first = entries.join(files.drop("records"), "file").where("offset < size").withColumn("end", F.least((F.floor(F.col("offset") / span) + 1) * span, F.col("size")))
+    rows = checkpoint(first.repartition(tasks).mapInPandas(_records(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"))
+    ended = entries.select("file", F.col("offset").alias("size")).withColumn("ended", F.lit(True))
+    checked = files.join(ended, ["file", "size"], "left").join(rows.groupBy("file").agg(F.count("*").alias("found")), "file", "left")
+    lost = checked.where("ended IS NULL OR coalesce(found, 0) <> coalesce(records, found, 0)").select("file").first()
+    if lost:
+        raise ValueError(f"{lost['file']} can't be read to its end record by record")
+    return rows
