@@ -1,6 +1,8 @@
 """Exact sizes and margins, and uniformity of the draw."""
 
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -44,3 +46,29 @@ def test_own_sampler():
     big = S.hypergeometric(rng, 10**12, 3 * 10**12, 10**9)
     assert abs(big - 2.5 * 10**8) < 10**6
     assert S.hypergeometric(rng, 5, 0, 3) == 3 and S.hypergeometric(rng, 0, 5, 3) == 0
+
+
+def test_columns_that_clash_and_odd_values(spark):
+    rows = [(i, "a" if i % 2 else None, i * 3, {"k": i}, "x" * (300_000 if i == 5 else 0)) for i in range(50)] * 2
+    docs = spark.createDataFrame(rows, "shard long, slot string, Slot_1 long, m map<string,long>, text string").repartition(3)
+    got = S.shard(docs, 7)
+    assert got.columns == ["shard_1", "slot_2", "Slot_1", "m", "text", "shard", "slot"]
+    got = got.collect()
+    assert Counter((r["shard_1"], r["slot_2"], r["Slot_1"], r["m"]["k"], len(r["text"])) for r in got) == Counter((a, b, c, d["k"], len(e)) for a, b, c, d, e in rows)
+    sizes = Counter(r["shard"] for r in got)
+    assert sorted(sizes.values()) == [14] * 5 + [15] * 2
+
+
+def test_large_draws_are_exact():
+    exact = lambda g, b, s, x: Fraction(math.comb(g, x) * math.comb(b, s - x), math.comb(g + b, s))
+    for g, b, s in ((3000, 7000, 2500), (40, 9000, 700), (5, 5, 4), (800, 3, 400)):
+        x = (s + 1) * (g + 1) // (g + b + 2)
+        x = min(min(g, s), max(max(0, s - b), x))
+        p = s / (g + b)
+        got = math.exp(S._log_binomial(x, g, p) + S._log_binomial(s - x, b, p) - S._log_binomial(s, g + b, p))
+        assert abs(got / float(exact(g, b, s, x)) - 1) < 1e-12
+    rng = np.random.default_rng(8)
+    g, b, s = 3 * 10**12, 7 * 10**12, 2 * 10**12
+    draws = np.array([S.hypergeometric(rng, g, b, s) for _ in range(60)])
+    sd = math.sqrt(s * 0.3 * 0.7 * (g + b - s) / (g + b))
+    assert abs(draws.mean() - s * 0.3) < 4 * sd / math.sqrt(60) and 0.7 < draws.std() / sd < 1.4
