@@ -55,3 +55,22 @@ def test_logistic_and_threshold():
     assert np.abs(grad).max() < 5e-3
     assert 0.3 < T.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) < 0.8
     assert T.best_threshold(np.array([0.5]), np.array([0])) > 1
+
+
+def test_labels_that_repeat_an_id_and_brute_force(spark):
+    docs, labels = corpus(400, 2)
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxicity string").drop("toxicity")
+    twice = [(i, q, 0) for i, q, t in labels if t] + labels + [(i, 1, t) for i, q, t in labels if not q]
+    one, two = (T.fit(d, T.categories_of(spark.createDataFrame(rows, "doc_id long, quality int, toxic int").repartition(parts)), T.CATEGORIES, "toxic") for rows, parts in ((labels, 1), (twice, 5)))
+    assert one.columns == two.columns and all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights, strict=True)) and one.threshold == two.threshold
+    got = {r["doc_id"]: r for r in T.score(d, one).select("doc_id", "toxicity.*").collect()}
+    n = len(one.columns)
+    for i, text, _ in docs:  # the chain, word by word
+        found = {f for token in text.split() for f in T.features(token)}
+        logits = []
+        for w in one.weights:
+            z = w[-1] + sum(w[c] for f, c in one.columns.items() if f in found) + sum(a * b for a, b in zip(w[n:-1], logits, strict=True))
+            logits.append(z)
+        for c, z in zip(one.categories, logits, strict=True):
+            assert abs(got[i][f"p_{c}"] - 1 / (1 + np.exp(-z))) < 1e-5
+        assert got[i]["toxic"] == (1 / (1 + np.exp(-logits[-1])) >= one.threshold) or abs(1 / (1 + np.exp(-logits[-1])) - one.threshold) < 1e-5

@@ -14,8 +14,8 @@ The training sample is at most SAMPLE labelled rows, the first by a hash of thei
 reads every document and its whole text, as a pandas UDF over that one column.
 
 Defined results: null and empty texts have no feature and get the intercepts' probabilities;
-labels with a null category or without document are left out; of labels that repeat an id one
-counts; without both classes a category's probability is its (smoothed) rate and nothing is
+labels with a null category or without document are left out; of labels that repeat an id each
+category's greatest value counts, so that one vote for toxic is enough; without both classes a category's probability is its (smoothed) rate and nothing is
 toxic; an empty table gives no rows; other columns are carried.
 """
 
@@ -156,7 +156,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], target: str, sample: int = SAMPLE, width: int = FEATURES, seed: int = 5) -> Chain:
     """docs: doc_id, text. labels: doc_id and a 0/1 column for each category, in the chain's order."""
     spark = docs.sparkSession
-    some = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    some = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows are broadcast
 
     @F.pandas_udf("array<long>")
@@ -212,8 +212,8 @@ def score(docs: DataFrame, model: Chain, target: str = "toxic", into: str = "tox
     return docs.withColumn(into, run("text"))
 
 
-#: The chain over the table `labels`: quality first, then toxicity, then both together.
-CATEGORIES = ["low_quality", "toxic", "toxic_low_quality"]
+#: The chain over the table `labels`: quality first, then toxicity of bad texts, then toxicity, which is fed both.
+CATEGORIES = ["low_quality", "toxic_low_quality", "toxic"]
 
 
 def categories_of(labels: DataFrame) -> DataFrame:
