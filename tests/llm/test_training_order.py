@@ -43,3 +43,15 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert T.materialise(spark.createDataFrame([], "doc_id long, text string"), new_folder(spark, "order"), key=1).count() == 0
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    texts = [" " * 300_000, "word " * 30_000, "twice", "twice", None]
+    docs = spark.createDataFrame([(1, t, 0) for t in texts], "doc_id long, text string, slot int").repartition(2, "text")
+    folder = new_folder(spark, "order")
+    got = T.materialise(docs, folder, key=3, length=128, per_shard=8).collect()
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    read = list(T.read_slots(folder, 0, len(got), length=128, per_shard=8))
+    stream = [i for a in (read[s] for s in np.argsort(T.Feistel(len(got), 3).numbers(np.arange(len(got))))) for i in a.tolist()]
+    ids = [x for t in texts for x in (*encoder().encode(t).tolist(), T.END)]
+    assert all(stream.count(i) == ids.count(i) for i in set(ids) - {T.END}) and stream.count(T.END) >= ids.count(T.END)

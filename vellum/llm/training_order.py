@@ -6,16 +6,16 @@
 2. A keyed Feistel network permutes the numbers of 2 * `half` bits; a result beyond n - 1 is put in
    again until it falls below (cycle-walking), which makes it a permutation of 0 to n - 1. It needs no
    table and no sort of keys: any task can compute a slot, or invert it.
-3. A shard holds `per_shard` consecutive slots. Sequences are sent to their shard and written in slot
-   order, each at (slot - first slot) * length * bytes per id, so a reader seeks to any slot and
+3. A shard holds `per_shard` consecutive slots. Tasks take ranges of consecutive shards, equally many each, which are
+   known without a sample as slots are dense. Sequences are sent to their range and written in slot order, each at (slot - first slot) * length * bytes per id, so a reader seeks to any slot and
    resumes there. A shard is written under a temporary name and moved into place, so that a
    repeated task leaves the same file.
 
 The second pass reads docs again. Each task checks that its partition has the rows and ids that were
 counted and fails otherwise; give a checkpoint for a DataFrame whose partitions may change.
 
-Defined results: null and empty texts are an end id alone; repeated rows appear as often as they
-occur; an empty table gives no shard and no rows; other columns are left out.
+Defined results: null and empty texts are an end id alone; very long texts go over as many sequences as they need; repeated
+rows appear as often as they occur; an empty table gives no shard and no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from vellum.llm.common import checkpoint, mix, open_store, text_chunks
 from vellum.llm.tokens import encoder
 
 LENGTH, PER_SHARD, END, ROUNDS = 2048, 4096, 50256, 4
+#: Shards (16 MB each at these sizes) that one task writes, and tasks at most; beyond, a task writes more shards, one after the other.
+TASK_SHARDS, MOST_TASKS = 4, 20_000
 
 
 class Feistel:
@@ -158,8 +160,9 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, pe
 
     placed = docs.mapInPandas(sequences, "slot long, shard long, doc_ids array<long>, ids_crc32 long, data binary")
     shards = max(1, -(-n // per_shard))
-    dealt = placed.repartition(min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard") if shards < 20_000 else placed.repartition(20_000, "shard")
-    return checkpoint(dealt.sortWithinPartitions("shard", "slot").mapInPandas(write, "slot long, shard long, position long, doc_ids array<long>, ids_crc32 long"))
+    tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))
+    ranges = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+    return checkpoint(ranges.sortWithinPartitions("shard", "slot").mapInPandas(write, "slot long, shard long, position long, doc_ids array<long>, ids_crc32 long"))
 
 
 def _placed(rows: list[tuple], order: Feistel, per_shard: int) -> pd.DataFrame:
