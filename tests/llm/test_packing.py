@@ -55,3 +55,35 @@ def test_fill_respects_every_limit_and_wastes_little():
         assert (used <= limit).all() and len({*zip(sequence.tolist(), place.tolist(), strict=True)}) == len(some)
     assert 1 - some[:, 0].sum() / (2048 * (sequence.max() + 1)) < 0.02
     assert P.fill(np.zeros((0, 3), int), limits)[0].tolist() == []
+
+
+def test_conversations_under_a_limit_of_loss_that_binds(spark):
+    r = np.random.default_rng(6)
+    turns = [(c if c else None, t, ["user", "assistant", None][int(r.integers(0, 3))], None if r.random() < 0.05 else "some words " * int(r.integers(0, 300))) for c in range(60) for t in range(int(r.integers(1, 9)))]
+    docs = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, length int").repartition(5)
+    got = P.pack(P.cut_conversations(docs, loss=700), loss=700, segments=12).collect()
+    want: dict = {}
+    for c, _, role, text in sorted(turns, key=lambda x: (x[0] or 0, x[1])):
+        ids = [*encoder().encode(text).tolist(), 1]
+        have = want.setdefault(-1 if c is None else c, ([], []))
+        have[0].extend(ids)
+        have[1].extend([role == "assistant"] * len(ids))
+    used: dict = {}
+    for p in got:
+        ids, bears = want[p["doc_id"]]
+        span = slice(p["start"], p["start"] + p["length"])
+        assert p["ids_crc32"] == zlib.crc32(np.array(ids[span], "<u4").tobytes()) and p["loss"] == sum(bears[span]) and p["doc_tokens"] == len(ids)
+        total = used.setdefault(p["sequence_id"], [0, 0, 0])
+        for k, x in enumerate((p["length"], 1, p["loss"])):
+            total[k] += x
+    assert all(a <= 2048 and b <= 12 and c <= 700 for a, b, c in used.values()) and max(c for _, _, c in used.values()) > 690
+    assert sum(p["length"] for p in got) == sum(len(ids) for ids, _ in want.values())
+
+
+def test_long_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_path())
+    for text in (" " * 1_000_000, "a" + "\n" * 400_000 + "b", "\t " * 200_000 + "x"):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert encoder().encode(text).tolist() == ids and encoder().count(text) == len(ids)

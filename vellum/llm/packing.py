@@ -9,8 +9,9 @@ Pieces that fill a sequence alone need no search. The others are dealt evenly in
 GROUP pieces, whatever their documents are, and each group is packed by one task.
 
 Defined results: null and empty texts are documents of one id (the end id); a piece never exceeds
-a limit, since documents are cut at the token limit; rows that repeat a document are packed as
-often as they occur; an empty table gives no rows; extra columns are left out.
+a limit, since documents are cut at the token limit and conversations at the token and the loss limit; rows that repeat a
+document are packed as often as they occur; an empty table gives no rows; extra columns are left out, whatever their names.
+A null conversation id counts as -1, a null role as no role.
 """
 
 from __future__ import annotations
@@ -52,6 +53,42 @@ def cut(docs: DataFrame, tokens: int = TOKENS, end_id: int = 1, tokenizer: str |
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
 
 
+def cut_conversations(turns: DataFrame, tokens: int = TOKENS, loss: int | None = None, end_id: int = 1, tokenizer: str | None = None, learned: str = "assistant") -> DataFrame:
+    """turns (conv_id, turn, role, text) -> the pieces of each conversation, in the order of its turns, an end id after each turn.
+
+    Only the ids of turns whose role is `learned` bear loss. A piece ends before it would exceed `tokens` ids or `loss` of these.
+    A conversation's turns are sorted by the shuffle and streamed, so that none is gathered as a whole."""
+    most = tokens if loss is None else min(loss, tokens)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, names = encoder(tokenizer).encode, ["doc_id", "start", "length", "loss", "ids_crc32", "doc_tokens"]
+        conversation, start, length, bears, crc = None, 0, 0, 0, 0
+        for batch in batches:
+            rows: list[tuple] = []
+            for conv_id, role, text in zip(batch["conv_id"].tolist(), batch["role"], batch["text"], strict=True):
+                if conv_id != conversation:
+                    if length:
+                        rows.append((conversation, start, length, bears, crc))
+                    conversation, start, length, bears, crc = conv_id, 0, 0, 0, 0
+                ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+                at, counts = 0, role == learned
+                while at < len(ids):
+                    room = min(tokens - length, most - bears) if counts else tokens - length
+                    part = ids[at : at + room]
+                    length, bears, crc, at = length + len(part), bears + len(part) * counts, zlib.crc32(part.tobytes(), crc), at + len(part)
+                    if at < len(ids):
+                        rows.append((conversation, start, length, bears, crc))
+                        start, length, bears, crc = start + length, 0, 0, 0
+            yield pd.DataFrame(rows, columns=names[:-1])
+        if length:
+            yield pd.DataFrame([(conversation, start, length, bears, crc)], columns=names[:-1])
+
+    known = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), "text")
+    pieces = checkpoint(known.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(run, "doc_id long, start long, length long, loss long, ids_crc32 long"))
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("doc_tokens"))
+    return pieces.join(whole, "doc_id")
+
+
 def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, place) of each piece; sizes: a row of whole numbers per piece, a column per limit."""
     kinds, kind_of = np.unique(sizes, axis=0, return_inverse=True)
