@@ -132,3 +132,31 @@ def test_changes_at_both_ends_are_found():
     found = {(d, i): round(s, 9) for (d, _), hits in zip(docs, searcher.search(pd.Series([t for _, t in docs])), strict=True) for i, s, _, _ in hits}
     want = brute(docs, items)
     assert found == want and len(want) == len(items)
+
+
+def test_recall_for_each_length_of_item():
+    r = random.Random(17)
+    for n in [*range(5, 25), 30, 44, 48, 49, 58, 75]:
+        found = wanted = 0
+        for k in range(12):
+            v, room = words(r, n), (n - 4) // 9  # so many shingles may differ
+            w = list(v)
+            if room >= 1:
+                w[-(k % 2)] = "changed"
+            if room >= 2 and k % 3:
+                w[-1] = w[0] = "changed"
+            text, item = " ".join(words(r, 30) + w + words(r, 30)), " ".join(v)
+            want = bool(brute([(0, text)], [(0, item)]))
+            wanted += want
+            found += want and bool(D.Searcher([(0, item)]).search(pd.Series([text]))[0])
+        assert wanted >= 6 and found >= 0.95 * wanted, (n, found, wanted)
+
+
+def test_very_long_texts_and_columns_that_clash(spark):
+    r = random.Random(3)
+    item = " ".join(words(r, 30))
+    docs = [(1, " ".join(words(r, 100_000)) + " " + item, 1, "a"), (2, "x " * 50_000, 2, "b"), (2, "x " * 50_000, 2, "b")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, item_id int, hit string"), spark.createDataFrame([(7, item, "z")], "item_id long, text string, hit string")
+    assert [(h["doc_id"], h["item_id"], h["start"]) for h in D.find(d, i).collect()] == [(1, 7, 100_000)]
+    left = D.drop(d, i)
+    assert left.columns == d.columns and [x["doc_id"] for x in left.collect()] == [2, 2]

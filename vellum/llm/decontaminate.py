@@ -23,11 +23,13 @@ lesser shingle weights over the sum of the greater, a shingle's weight being how
 in the window or item. The best window counts, from SIMILARITY up.
 
 The benchmark goes to all executors, as its whole text is checked against MOST_BENCHMARK bytes;
-a larger one is searched in parts of that size.
+a larger one is searched in parts of that size, one job after the other, so that neither the driver nor an
+executor ever holds more than one.
 
 Defined results: null and empty texts have no window; items of fewer than five words match nothing;
 items of 5 to 14 words enter whole, and from 9 words without their ends besides; repeated items and documents are matched each; an empty table
-on either side gives no rows; find() leaves other columns out, drop() carries them.
+on either side gives no rows; very long texts are searched whole; find() leaves other columns out, whatever their names,
+drop() carries them.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batch_hashes, chunks, shingle_hashes, text_chunks, word_hashes
+from vellum.llm.common import batch_hashes, checkpoint, chunks, shingle_hashes, text_chunks, word_hashes
 
 WIDTH, SIMILARITY, RADIUS, SLACK = 5, 0.8, 7, 2
 SIZES, LEAST = (24, 19, 15, 11), 15
@@ -175,32 +177,40 @@ def best_window(text: np.ndarray, at: int, item: Counter, n: int) -> tuple[float
     return most
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list]:
-    """The benchmark in parts of bounded size."""
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """The benchmark in parts of bounded size, and whether each is the last."""
     part, size = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         if part and size + len(r["text"]) > MOST_BENCHMARK // 4:
-            yield part
+            yield part, False
             part, size = [], 0
         part.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    yield part
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text"):
-    """A column of docs: the array of (item_id, similarity, start, words) of the items that the text holds, each at its best window."""
-    found = [_hits(docs, part)(text) for part in _parts(benchmark)]
-    return found[0] if len(found) == 1 else F.concat(*found)
+    yield part, True
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, words): a row for each document and item in it."""
-    return docs.select("doc_id", F.explode(hits(docs, benchmark)).alias("hit")).select("doc_id", "hit.*")
+    found = None
+    for part, last in _parts(benchmark):
+        search, shared = _hits(docs, part)
+        rows = docs.select("doc_id", F.explode(search("text")).alias("hit")).select("doc_id", "hit.*")
+        if not last:
+            rows = checkpoint(rows)
+            shared.destroy()
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    return docs.where(F.size(hits(docs, benchmark)) == 0)
+    for part, last in _parts(benchmark):
+        search, shared = _hits(docs, part)
+        docs = docs.where(F.size(search("text")) == 0)
+        if not last:
+            docs = checkpoint(docs)
+            shared.destroy()
+    return docs
 
 
 class Searcher:
@@ -251,4 +261,4 @@ def _hits(docs: DataFrame, part: list):
             found = [hit for piece in text_chunks(texts, 400_000) for hit in searcher.search(texts.iloc[piece])]
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in hit] for hit in found], dtype=object)
 
-    return run
+    return run, shared
