@@ -107,3 +107,45 @@ def test_intersections():
     sets = [np.unique(r.integers(0, 60, 30)) for _ in range(9)]
     want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:5]]
     assert ngram_join.intersections(sets, np.arange(5), np.arange(4, 9), budget=50).tolist() == want
+
+
+def test_drop_keeps_one_row_of_each_class(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "other")
+    rows = [(1, base, "b"), (1, base, "a"), (2, near, "c"), (3, "quite another text of some words", "d"), (None, "no id here at all in this row", "e"), (4, None, "f"), (4, None, "f"), (5, "", "g"), (6, "long " * 60_000, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(3)
+    for most in (500_000, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+        got = ngram_join.drop(docs)
+        assert got.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["first"]) for r in got.collect()) == [("1", "a"), ("3", "d"), ("4", "f"), ("5", "g"), ("6", "h"), ("None", "e")]
+
+
+def test_hot_groups_and_columns_that_clash(spark, monkeypatch):
+    from vellum.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2_000)
+    rows = corpus(5)
+    docs = spark.createDataFrame([(*r, 0, 0, "x") for r in rows + [(10_000 + i, rows[7][1]) for i in range(40)]], "doc_id long, text string, row int, rep int, path string").repartition(4)
+    check(ngram_join.join(docs).collect(), rows + [(10_000 + i, rows[7][1]) for i in range(40)])
+
+
+def test_runs_go_on_until_the_target_recall(spark, monkeypatch):
+    made = []
+    plain = ngram_join.paths
+    monkeypatch.setattr(ngram_join, "paths", lambda reps, n, first, runs: made.append(first) or plain(reps, n, first, runs))
+    monkeypatch.setattr(ngram_join, "STEP", 1)
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    r = random.Random(1)
+    rows = []
+    for _ in range(60):
+        w = [f"w{r.randrange(9000)}" for _ in range(90)]
+        rows.append(" ".join(w))
+        w[45] = w[20] = "changed"
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = ngram_join.signatures(docs).withColumnRenamed("row", "rep")
+    assert ngram_join.probes(sets).count() >= 60
+    check(ngram_join.join(docs).collect(), list(enumerate(rows)))
+    assert len(made) > 1

@@ -1,8 +1,8 @@
 """Connected components of a graph too large for one machine: alternating large and small stars.
 
 Each round is two shuffles of the edges; the edges are checkpointed, so a lost executor costs one
-round. A vertex with very many neighbours is no single task's work: the minimum of its
-neighbours is a map-side combined aggregate and the join on it is one that Spark can split.
+round. A vertex with very many neighbours is no single task's work: its least neighbour is a map-side
+combined aggregate, and is broadcast to the edges where they lie (join_groups).
 """
 
 from __future__ import annotations
@@ -12,32 +12,32 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import checkpoint
+from vellum.llm.common import checkpoint, join_groups
 
 #: Edges that one task takes, about. The number of tasks follows the edges, so that small graphs don't pay for many tasks.
-TASK_EDGES = 20_000
+TASK_EDGES = 100_000
 
 
-def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
-    """edges (u, v), u > v. Large: each vertex's larger neighbours are hung on its least neighbour; small: its smaller ones and itself."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """n edges (u, v), u > v. Large: each vertex's larger neighbours are hung on its least neighbour; small: its smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u").coalesce(tasks)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = join_groups(both, least, ["u"], "n", 2 * n if large else n)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct().coalesce(tasks)
+    return out.where("u > v").repartition(max(1, math.ceil(n / TASK_EDGES)), "u", "v").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, root) of every vertex of edges (u, v); root: its component's least vertex. Loops are dropped."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = checkpoint(edges)
-    tasks = max(1, math.ceil(edges.count() / TASK_EDGES))  # the edges never grow
+    n = edges.count()  # it never grows
     seen = None
     for _ in range(most):
-        edges = checkpoint(_star(_star(edges, True, tasks), False, tasks))
+        edges = checkpoint(_star(_star(edges, True, n), False, n))
         now = tuple(edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

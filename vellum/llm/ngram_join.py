@@ -9,17 +9,25 @@
    expected to stay together in one child). Nodes of one set go, nodes of up to LEAF sets are
    compared pair by pair on their embeddings, larger nodes split again. A child that keeps most
    of a large node is made of sets that are nearly all alike: splitting it wouldn't end, so
-   its sets are linked as they are. RUNS independent runs are made: a pair at similarity 0.8
-   is missed by a run with probability 0.16 at one split, 0.36 at three and 0.47 at five, and so
-   by all ten with probability 1e-8, 4e-5 and 5e-4.
-3. Linked sets make candidate components. They hold too many pairs, never fewer than were found.
+   its sets are linked as they are.
+3. Runs are repeated until the target recall. It is measured: up to PROBES sets, taken by a hash, are held
+   against all others, each with the partner that agrees least of those that agree in 0.8 of the coordinates,
+   the hardest to find. STEP runs are added until RECALL of these pairs meet in a node, MOST_RUNS at most. A pair
+   at similarity 0.8 is missed by a run with probability 0.16 at one split, 0.36 at three and 0.47 at
+   five, and so by ten with probability 1e-8, 4e-5 and 5e-4, leaving aside the few pairs (1e-4) whose
+   embeddings agree far less than the sets.
+4. Linked sets make candidate components. They hold too many pairs, never fewer than were found.
    Within each, every pair is compared exactly, on the sets of shingles: the component is
    cut into blocks and a task gets two blocks. Only counts and one link for each set leave
-   the task, and blocks grow with the component, so k near copies make about k ** 1.5 / 8 rows and not k * k.
-4. Components of the exact links are the classes.
+   the task. Blocks grow with the square root of the component, so that k near copies make about k ** 1.5 / 8 rows
+   and not k * k, up to BLOCK_SHINGLES shingles, which bounds a task's memory.
+5. Components of the exact links are the classes.
+
+Joins on a component, a class or a path, any of which may hold a third of all rows, go through join_groups().
 
 Defined results: null counts as empty; rows that repeat a text are linked to each other; an empty
-table gives no rows; ids may be null or repeat; columns other than the id and the text are left out.
+table gives no rows; ids may be null or repeat; very long texts are compared whole; columns other than the id and the
+text are left out by join(), whatever their names, and carried by drop(), if they don't start with "__near_".
 """
 
 from __future__ import annotations
@@ -33,17 +41,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batch_hashes, checkpoint, mix, shingle_hashes, sorted_groups, text_chunks, word_hashes
+from vellum.llm.common import batch_hashes, checkpoint, join_groups, mix, shingle_hashes, sorted_groups, text_chunks, word_hashes
 from vellum.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, LEAF, DEPTH = 64, 10, 64, 9
+COORDINATES, LEAF, DEPTH = 64, 64, 9
+#: Runs are made so many at once until RECALL of the probed pairs meet; probes are the first sets by a hash.
+STEP, MOST_RUNS, RECALL, PROBES = 8, 32, 0.99, 400
 #: A child with this share of its node isn't split again.
 ALIKE = 0.7
 #: Embeddings that agree in fewer coordinates (4 standard deviations under 0.8) aren't compared exactly.
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
-#: Sets in a block: GROWTH times the square root of the component, from BLOCK to BLOCK_MOST. So k sets make about k ** 1.5 / GROWTH rows.
-BLOCK, GROWTH, BLOCK_MOST = 64, 8, 2048
+#: Sets in a block: GROWTH times the square root of the component, BLOCK at least; so k sets make about k ** 1.5 / GROWTH rows.
+BLOCK, GROWTH = 64, 8
+#: Shingles in a block, about, at most.
+BLOCK_SHINGLES = 2_000_000
 #: Paths that one task takes, about; the number of tasks follows the paths.
 TASK_PATHS = 20_000
 #: Candidates up to so many are broadcast to the texts (24 bytes each); beyond, the texts are shuffled.
@@ -108,26 +120,60 @@ def _split(nodes: DataFrame) -> DataFrame:
     return picked.select("rep", F.xxhash64("path", "pick", F.element_at("sig", F.col("pick") + 1)).alias("path"), "parent")
 
 
-def paths(reps: DataFrame, runs: int = RUNS) -> tuple[list[DataFrame], list[DataFrame]]:
-    """reps: rep, sig. The leaves and the nodes of sets that are nearly all alike: rep, path, size."""
+def paths(reps: DataFrame, n: int, first: int, runs: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """reps: rep, sig, n of them. The leaves and the nodes of sets that are nearly all alike of `runs` runs from number `first`: rep, path."""
     leaves, alike = [], []
-    roots = F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)]))
-    level = _split(reps.select("rep", "sig", roots.alias("path"), F.lit(1 << 60).alias("parent")))
-    tasks = max(1, math.ceil(reps.count() * runs / TASK_PATHS))
+    roots = F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(first + r)) for r in range(runs)]))
+    level, total = _split(reps.select("rep", "sig", roots.alias("path"), F.lit(1 << 60).alias("parent"))), 2 * n * runs
     for depth in range(DEPTH):
+        level = checkpoint(level)
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = checkpoint(level.join(sizes, "path").coalesce(tasks))
+        level = checkpoint(join_groups(level, sizes, ["path"], "size", total))
         ends = (F.col("size") >= ALIKE * F.col("parent")) | F.lit(depth == DEPTH - 1)
         leaves.append(level.where(F.col("size") <= LEAF).select("rep", "path"))
-        alike.append(level.where((F.col("size") > LEAF) & ends).select("rep", "path"))
+        alike.append(level.where((F.col("size") > LEAF) & ends).select("rep", "path", "size"))
         large = level.where((F.col("size") > LEAF) & ~ends)
-        tasks = math.ceil(large.count() / TASK_PATHS)
-        if not tasks:
+        total = 2 * large.count()
+        if not total:
             break
         level = _split(large.select("rep", "path", F.col("size").alias("parent")).join(reps, "rep"))
     return leaves, alike
 
 
+def probes(reps: DataFrame) -> DataFrame:
+    """(u, v): PROBES sets at most, each with its partner that agrees least, of those that agree in 0.8 of the coordinates; sets without one are left out."""
+    first = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(PROBES).collect()
+    if not first:
+        return reps.sparkSession.createDataFrame([], "u long, v long")
+    ids, table = np.array([r["rep"] for r in first]), np.array([r["sig"] for r in first], np.int32).T.copy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, who = np.full(len(ids), 127, np.int8), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                reps_, sig = batch["rep"].to_numpy()[start : start + 512], np.stack(batch["sig"].to_numpy()[start : start + 512])
+                same = np.zeros((len(sig), len(ids)), np.int8)
+                for k in range(COORDINATES):
+                    same += sig[:, k, None] == table[k][None]
+                same[(same < SIMILARITY * COORDINATES) | (reps_[:, None] == ids[None])] = 127
+                at = same.argmin(0)
+                less = same[at, np.arange(len(ids))] < best
+                best[less], who[less] = same[at, np.arange(len(ids))][less], reps_[at][less]
+        some = best < 127
+        yield pd.DataFrame({"u": ids[some], "v": who[some], "agree": best[some].astype(np.int32)})
+
+    found = reps.select("rep", "sig").mapInPandas(run, "u long, v long, agree int")
+    return checkpoint(found.groupBy("u").agg(F.min(F.struct("agree", "v")).alias("b")).select("u", F.col("b.v").alias("v")))
+
+
+def met(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v; at most PROBES) whose sets lie in one of the nodes (rep, path)."""
+    wanted = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
+    near = nodes.join(F.broadcast(wanted), "rep", "left_semi")
+    a, b = near.select(F.col("rep").alias("u"), "path"), near.select(F.col("rep").alias("v"), "path")
+    return F.broadcast(pairs).join(a, "u").join(b, ["v", "path"]).select("u", "v").distinct()
+
+
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     """The least member of each item's component."""
     root = np.arange(n)
@@ -234,36 +280,78 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select(*rest, "text").mapInPandas(run, schema + ", shingles array<long>")
 
 
-def join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def candidate_links(reps: DataFrame, n: int) -> DataFrame:
+    """reps: rep, sig, n of them. Links (u, v) whose components hold the similar pairs, but for 1 - RECALL of the probed ones."""
+    pairs, links, found = probes(reps), [], None
+    wanted = pairs.count()
+    for first in range(0, MOST_RUNS, STEP):
+        leaves, alike = paths(reps, n, first, STEP)
+        leaf, same = _union(leaves), _union(alike)
+        n_leaf, n_alike = leaf.count(), same.count()
+        compared = leaf.join(reps, "rep").select("path", "rep", "sig").repartition(max(1, math.ceil(n_leaf / TASK_PATHS)), "path")
+        edges = compared.sortWithinPartitions("path", "rep").mapInPandas(_compare_leaves, "u long, v long")
+        least = same.groupBy("path").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
+        stars = join_groups(same.select("rep", "path"), least, ["path"], "n", n_alike).select(F.col("rep").alias("u"), "v")
+        links.append(checkpoint(edges.unionByName(stars).distinct()))
+        if not wanted:
+            break
+        now = met(pairs, leaf.unionByName(same.select("rep", "path")))
+        found = checkpoint((found.unionByName(now) if found is not None else now).distinct())
+        if found.count() >= RECALL * wanted:
+            break
+    return _union(links)
+
+
+def join(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, text_hash, class_id (the least doc_id of its class), links (rows of similar text, equal ones too), class_size, first (true for one row of each class)."""
     rows = signatures(docs)
+    n_rows = rows.count()
     groups = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
-    rows = checkpoint(rows.join(groups, ["d1", "d2"], "left").withColumns({"rep": F.coalesce("rep", "row"), "copies": F.coalesce("copies", F.lit(1))}))
+    rows = checkpoint(join_groups(rows, groups, ["d1", "d2"], "copies", n_rows, "left").withColumns({"rep": F.coalesce("rep", "row"), "copies": F.coalesce("copies", F.lit(1))}))
     sets = rows.where("row = rep AND n > 0")
     reps = sets.select("rep", "sig")
-    leaves, alike = paths(reps, runs)
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    edges = leaf.join(reps, "rep").select("path", "rep", "sig").repartition(parts, "path").sortWithinPartitions("path", "rep").mapInPandas(_compare_leaves, "u long, v long")
-    for node in alike:
-        edges = edges.unionByName(node.join(node.groupBy("path").agg(F.min("rep").alias("v")), "path").select(F.col("rep").alias("u"), "v"))
-    candidates = components(edges)
-
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    block = F.least(F.greatest(GROWTH * F.sqrt("size"), F.lit(BLOCK)), F.lit(BLOCK_MOST))
-    k = F.ceil(F.col("size") / block).cast("int")
-    placed = candidates.join(sizes.select("root", k.alias("k")), "root").select(F.col("id").alias("rep"), "root", "k", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("block"))
-    wanted = checkpoint(sets.select("rep", "copies", "doc_id", "text_hash").join(placed, "rep"))
-    pairs = _with_shingles(docs, wanted).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    pairs = pairs.select("root", "i", "j", "rep", "block", "copies", "shingles").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    candidates = components(candidate_links(reps, sets.count()))
+
+    members = checkpoint(sets.select("rep", "n", "copies", "doc_id", "text_hash").join(candidates.select(F.col("id").alias("rep"), "root"), "rep"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    k = F.ceil(F.greatest(F.col("size") / F.greatest(GROWTH * F.sqrt("size"), F.lit(BLOCK)), F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    placed = join_groups(members, sizes.select("root", "size", k.alias("k")), ["root"], "size", members.count())
+    wanted = checkpoint(placed.select("rep", "copies", "doc_id", "text_hash", "root", "k", "n", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("block")))
+    shipped = wanted.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shipped / BLOCK_SHINGLES))
+    pairs = _with_shingles(docs, wanted.drop("n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    pairs = pairs.select("root", "i", "j", "rep", "block", "copies", "shingles").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
     exact = checkpoint(pairs.mapInPandas(_verify, "rep long, links long, to long"))
 
     links = exact.groupBy("rep").agg(F.sum("links").alias("near"))
     classes = components(exact.select(F.col("rep").alias("u"), F.col("to").alias("v"))).select(F.col("id").alias("rep"), F.col("root").alias("class"))
-    linked = checkpoint(links.join(classes, "rep"))
-    out = rows.select("row", "rep", "doc_id", "text_hash", "copies").join(linked, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    linked = checkpoint(links.join(classes, "rep").join(sets.select("rep", "copies"), "rep"))
+    narrow = rows.select("row", "rep", "doc_id", "text_hash", F.col("copies").alias("rows"))
+    out = checkpoint(join_groups(narrow, linked, ["rep"], "copies", n_rows, "left").withColumn("class", F.coalesce("class", "rep")))
     least = out.groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("least"), F.count("*").alias("class_size"))
-    return out.join(least, "class").select("doc_id", "text_hash", F.col("least.id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "class_size", (F.col("least.row") == F.col("row")).alias("first"))
+    marked = join_groups(out, least, ["class"], "class_size", n_rows)
+    return marked.select("doc_id", "text_hash", F.col("least.id").alias("class_id"), (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "class_size", (F.col("least.row") == F.col("row")).alias("first"))
+
+
+def drop(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of similar texts: the one with the least doc_id, with all its columns. Of rows that repeat its id and text the one whose columns, as JSON, come first."""
+    columns = docs.columns
+    key = {"__near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__near_null": F.col("doc_id").isNull(), "__near_hash": F.xxhash64("text")}
+    marks = join(docs).groupBy("doc_id", "text_hash").agg(F.bool_or("first").alias("__near_first"), F.count("*").alias("__near_n"))
+    marks = checkpoint(marks.select(F.coalesce("doc_id", F.lit(0)).alias("__near_id"), F.col("doc_id").isNull().alias("__near_null"), F.col("text_hash").alias("__near_hash"), "__near_first", "__near_n"))
+    special, total = marks.where("NOT __near_first OR __near_n > 1"), marks.agg(F.sum("__near_n")).first()[0] or 0
+    if special.count() <= BROADCAST_ROWS:
+        found = docs.withColumns(key).join(F.broadcast(special), list(key), "left")
+    else:
+        found = join_groups(docs.withColumns(key), special, list(key), "__near_n", total, "left")
+    kept = found.where("coalesce(__near_first, true)")
+    every = F.struct(*[F.col(f"`{c}`") for c in columns])
+    repeated = kept.where("__near_n > 1").groupBy(*key).agg(F.min_by(every, F.to_json(every)).alias("__near_doc"))
+    return kept.where("coalesce(__near_n, 1) = 1").select(*[F.col(f"`{c}`") for c in columns]).unionByName(repeated.select("__near_doc.*"))
