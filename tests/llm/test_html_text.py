@@ -87,3 +87,11 @@ def test_open_elements_end_with_their_parent():
     ]
     assert [texts(w) for w in whole] == [["One."]] * len(whole)
     assert texts("a<svg><text>t</text></svg>b <script>x</script><select><option>t</select>c") == ["ab c"]
+
+
+def test_very_long_pages_repeated_rows_and_a_column_named_text(spark):
+    page = "<body><article>" + "<p>A sentence of an article that goes on.</p>" * 30_000 + "</article></body>"
+    docs = spark.createDataFrame([(1, page, "old", 0), (1, page, "old", 0), (2, None, "old", 0)], "page_id long, html string, text string, run int")
+    got = H.extract(docs)
+    assert sorted(got.columns) == ["html", "page_id", "run", "text"]
+    assert sorted((r["page_id"], r["text"].count("\n")) for r in got.collect()) == [(1, 29_999), (1, 29_999), (2, 0)]

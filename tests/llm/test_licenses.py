@@ -50,3 +50,34 @@ int main() {{ return 0; }}"""
     texts = [mit, bsd, gnu.format("program", ""), gnu.format("library", "Lesser "), gnu.format("program", "Affero "), dnl, narrow, twice, blank, "\n".join(L.MISLEADING)]
     got = [[(i, f) for i, f, _, _ in found] for found in L.judge(texts, model)]
     assert got == [[(4, "mit")], [(0, "bsd"), (0, "reserved")], [(3, "gpl")], [(3, "lgpl")], [(4, "agpl")], [(0, "isc")], [(3000, "bsd")], [(0, "mit"), (2, "mit")], [], []]
+
+
+def test_naive_scorer_and_repeated_rows(spark):
+    model = L.train()
+    r = np.random.default_rng(5)
+    lines = [t for ts in L.TEMPLATES.values() for t in ts] + L.MISLEADING + [t for t, _ in L.paragraphs(3, seed=44)]
+    texts = ["\n\n".join(lines[int(i)] for i in r.integers(0, len(lines), 6)) for _ in range(60)]
+
+    def naive(text):
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            w = L.words(line)
+            z = model.weights[-1].astype(float).copy()
+            known = [model.ids[x] for x in dict.fromkeys(w) if x in model.ids]
+            n = len(model.ids)
+            pairs = {model.ids[a] * n + model.ids[b] for a, b in zip(w, w[1:], strict=False) if a in model.ids and b in model.ids}
+            for f in [*known, *(n + int(np.searchsorted(model.pairs, p)) for p in pairs if p in set(model.pairs.tolist()))]:
+                z += model.weights[f]
+            p = np.exp(z / model.temperature - (z / model.temperature).max())
+            p /= p.sum()
+            f = int(p.argmax())
+            if line.strip() and f < len(L.TEMPLATES) and p[f] >= L.SURE:
+                have = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+                best = max(len(t & have) / len(t) for t in model.templates[f])
+                if best >= L.SIMILARITY:
+                    out.append((k, L.FAMILIES[f], round(float(p[f]), 4), round(best, 9)))
+        return out
+
+    docs = spark.createDataFrame([(1, t, "x") for t in [*texts, texts[0]]], "doc_id long, text string, family string")
+    got = sorted((r["paragraph"], r["family"], round(r["probability"], 4), round(r["similarity"], 9)) for r in L.scan(docs, model).collect())
+    assert got == sorted(x for t in [*texts, texts[0]] for x in naive(t)) and len(got) > 100

@@ -13,7 +13,7 @@ what lies below, up to the next label. training_pages() makes some by rule, of s
 Defined results: null and empty html give empty text; unclosed and misnested tags close as browsers
 close them, nearly (a head ends at what it can't hold, an open svg, select, noscript or template with its
 parent, an open script or the like in a head with the head); what isn't a tag is text; an empty table gives no rows; repeated pages are extracted
-each; other columns are carried.
+each, very long ones whole; other columns are carried, and one that has the result's name is replaced by it.
 """
 
 from __future__ import annotations
