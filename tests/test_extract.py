@@ -3,6 +3,7 @@
 import pytest
 
 from vellum import schemas
+from vellum.functions.vocabulary import Vocabulary
 from vellum.plans.extract import extract, results
 from vellum.sources import sinks
 
@@ -43,6 +44,17 @@ DOCS = {
 }
 
 
+#: An invented trade's words; the library has none of its own.
+WORDS = {
+    "maker": "IVE LCN PE SCH NO ARDEN", "finish": "US26D AL BLK GREY US 626E", "ambiguous": "PE NO AL US", "noun": "hinge closer seal lockset stop silencer holder", "unit": "EA PR",
+    "note": r"(notes?\b|provide\s+each)", "prose": r"\b(shall|to be)\b", "no_row": r"(doors?\s*:|end of)", "finish_pattern": r"US\d+[A-Z]*|\d{3}[A-Z]?",
+}
+
+
+def trade(spark):
+    return Vocabulary.read(spark.createDataFrame([(k, v) for k, vs in WORDS.items() for v in (vs.split() if k in ("maker", "finish", "ambiguous", "noun", "unit") else [vs])], "kind string, value string"))
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     words, pages = [], []
@@ -52,7 +64,7 @@ def found(spark):
             words += w
             pages.append(p)
     strikes = spark.createDataFrame([("struck", 1, 55.0, 560.0, 140 + 9 * 0.56), ("struck", 1, 55.0, 560.0, 169.5)], schemas.STRIKES)
-    out = extract(spark.createDataFrame(words, schemas.WORDS).repartition(3), spark.createDataFrame(pages, schemas.PAGES), strikes)
+    out = extract(spark.createDataFrame(words, schemas.WORDS).repartition(3), spark.createDataFrame(pages, schemas.PAGES), strikes, vocabulary=trade(spark))
     rows = {}
     out["sets"].cache()
     for r in out["sets"].orderBy("doc_id", "position").collect():
@@ -110,3 +122,45 @@ def test_results_and_export(spark, found, tmp_path):
     assert next(r for r in plain if r["set_number"] == "02")["component_id"] is None
     sinks.write_results(nested, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(DOCS)
+
+
+def test_grid_reaches_results_and_export(spark):
+    heads = ["SET", "HARDWARE TYPE", "MANUFACTURER - PRODUCT", "QTY", "FINISH", "NOTES"]
+    pages = [[heads, ["1.1", "Hinge", "ARDEN - 5BB1", "3", "630", ""]], [heads, ["", "Closer", "LCN - 40", "1", "689", ""], ["2.1", "Wall Stop", "ARDEN - WS", "1", "630", "n"]]]
+    cells = [("g", p, 0, i, k, t, 100.0 * k, 34.0 * i, 100.0 * k + 99, 34.0 * i + 33) for p, rows in enumerate(pages, 1) for i, r in enumerate(rows) for k, t in enumerate(r)]
+    words, first = page("g", 3, [(100, [(60, "HARDWARE SET: 9 - ENTRY")]), (120, HEADS), row(140, "3", "HINGE", "BB1", "US26D", "IVE")])
+    facts = [first, *(("g", p, 630.0, 792.0, False) for p in (1, 2))]
+    out = extract(spark.createDataFrame(words, schemas.WORDS), spark.createDataFrame(facts, schemas.PAGES), None, spark.createDataFrame(cells, schemas.GRID), trade(spark))
+    nested = results(out, spark.createDataFrame([("g", "g.pdf", "p", "p/g.pdf")], "doc_id string, name string, project string, source_path string"))
+    r = nested.first()
+    assert [s["set_number"] for s in r["sets"]] == ["1.1", "2.1", "9"] and [c["description"] for c in r["sets"][0]["components"]] == ["Hinge", "Closer"]
+    assert [x["page"] for x in r["sets"][0]["locations"]] == [1, 2] and any("continues" in w for w in r["sets"][0]["warnings"])
+    assert [(x["set_number"], x["qty"], x["mfr"]) for x in sinks.export_rows(nested).collect()] == [("1.1", "3", "ARDEN"), ("1.1", "1", "LCN"), ("2.1", "1", "ARDEN"), ("9", "3", "IVE")]
+    from vellum.operators.evaluate import evaluate
+
+    gold = spark.createDataFrame([(1, "p/g.pdf", [1, 2], "1.1", None, None, None, [({"qty": "1", "description": "closer", "catalog_number": "40", "mfr": "LCN", "finish": "689", "notes": None}, ["qty", "mfr"])])], "gold_id long, source_path string, pages array<int>, set_number string, description string, status string, notes array<string>, components array<struct<row struct<qty string, description string, catalog_number string, mfr string, finish string, notes string>, annotated array<string>>>")
+    metrics = {m["metric"]: (m["correct"], m["total"]) for m in evaluate(gold, nested)[0].collect()}
+    assert metrics["row_recall"] == (1, 1) and metrics["field_mfr"] == (1, 1)
+
+
+def test_consensus_inheritance_wraps_and_notes(spark):
+    plain = lambda y, n, d, c, f, m: row(y, n, d, c, f, m)
+    docs = {
+        "consensus": [(1, [(100, [(60, "HARDWARE SET: 1 - A")]), *[(y, [(60, "2"), (100, d), (250, c), (430, f), (500, m)]) for y, d, c, f, m in ((120, "HINGE", "BB1", "US26D", "IVE"), (140, "CLOSER", "40", "BLK", "LCN"), (160, "LOCKSET", "ND5", "626E", "SCH"))], (200, [(60, "Notes: keep dry"), ]), (212, [(100, "and clean")])])],
+        "skipped": [(1, [(100, [(60, "HARDWARE SET: 5 - X")]), (120, HEADS), plain(140, "1", "STOP", "W1", "US26D", "IVE")]), (4, [(100, [(60, "HARDWARE SET: 5 (CONTINUED)")]), plain(140, "2", "HOLDER", "H1", "BLK", "LCN"), (149, [(100, "with arm")])])],
+    }
+    words, facts = [], []
+    for doc, content in docs.items():
+        for number, rows in content:
+            w, p = page(doc, number, rows)
+            words += w
+            facts.append(p)
+    out = extract(spark.createDataFrame(words, schemas.WORDS), spark.createDataFrame(facts, schemas.PAGES), vocabulary=trade(spark))
+    got = {}
+    for r in out["sets"].orderBy("doc_id", "position").collect():
+        got.setdefault(r["doc_id"], []).append(r["set"])
+    a = got["consensus"][0]
+    assert [fields(c) for c in a["components"]] == [(2.0, "HINGE", "BB1", "US26D", "IVE"), (2.0, "CLOSER", "40", "BLK", "LCN"), (2.0, "LOCKSET", "ND5", "626E", "SCH")]
+    assert a["confidence"] == 0.87 and a["components"][0]["mapping_reason"] == "column_consensus" and a["notes"][0] == "keep dry"
+    (b,) = got["skipped"]
+    assert [fields(c) for c in b["components"]] == [(1.0, "STOP", "W1", "US26D", "IVE"), (2.0, "HOLDER with arm", "H1", "BLK", "LCN")] and [x["page"] for x in b["locations"]] == [1, 4]

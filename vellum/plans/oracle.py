@@ -48,12 +48,12 @@ SQL: dict[str, str] = {
         m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS starts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
         i AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
         SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(event_id) AS first_event, max(t) AS last_at FROM i GROUP BY user_id, island""",
-    "content_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "content_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1",
     "median_column_position": "SELECT l_suppkey, quantile_cont(l_extendedprice, 0.5) AS median_price, count(*) AS n FROM lineitem GROUP BY 1",
     "unlabelled_anti": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "latest_correction": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
     "correction_overlay": """
-        WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn > 1) WHERE n = 1)
+        WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn > 0) WHERE n = 1)
         SELECT b.conv_id, CASE WHEN c.conv_id IS NULL THEN b.role ELSE c.role END AS role, CASE WHEN c.conv_id IS NULL THEN b.text ELSE c.text END AS text, c.conv_id IS NOT NULL AS corrected
         FROM conversations b LEFT JOIN c ON b.conv_id = c.conv_id WHERE b.turn = 0""",
     "correction_audit": "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, text AS after FROM conversations",
@@ -63,8 +63,14 @@ SQL: dict[str, str] = {
                coalesce(string_agg(p_brand, ';' ORDER BY l_linenumber, l_partkey, p_brand), '') AS brands
         FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
     "export_rows": rf"""
-        WITH {NESTED} SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '^\s*[=+\-@]') THEN '''' || o_orderpriority ELSE o_orderpriority END AS priority,
-               coalesce(l_linenumber, -1) AS line_number, p_name AS description, p_brand AS catalog_number, l_quantity AS qty
+        WITH {NESTED} SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(o_orderkey AS VARCHAR) AS set_id, CAST(o_orderkey AS VARCHAR) AS set_number,
+               CASE WHEN o_orderpriority LIKE '1%' THEN 'and #C' || o_custkey || ' - ' || o_orderstatus ELSE o_orderpriority END AS set_description, 'active' AS status,
+               CAST(coalesce(l_linenumber, 1) AS VARCHAR) AS pages, CAST(l_linenumber AS VARCHAR) AS component_id, CASE WHEN l_linenumber <> 6 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty,
+               CAST(NULL AS VARCHAR) AS unit, p_name AS description, p_brand AS catalog_number, l_returnflag AS mfr, CAST(NULL AS VARCHAR) AS finish,
+               CASE WHEN l_linenumber IS NULL THEN 'Note: see list; see list' END AS notes, CASE WHEN l_linenumber IS NOT NULL THEN '' END AS raw_text,
+               '{{"qty":' || round(1 - l_tax - l_discount, 4) || '}}' AS confidence,
+               '[{{"page":' || l_linenumber || ',"bbox":[0.0,0.0,1.0,1.0],"page_width":10.0,"page_height":10.0,"line_start":1,"line_end":1}}]' AS locations,
+               CASE WHEN l_linenumber = 7 THEN 'seventh' WHEN l_linenumber IS NULL THEN NULL ELSE '' END AS warnings, CAST(NULL AS VARCHAR) AS catalog_resolution, 'false' AS corrected
         FROM orders LEFT JOIN items ON o_orderkey = l_orderkey""",
     "csv_guard": rf"""
         WITH {LINES} SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^\s*[=+\-@]') THEN '''' || line ELSE line END AS guarded, '''=' || line AS forced FROM lines""",
@@ -104,8 +110,8 @@ SQL: dict[str, str] = {
         WITH t AS (SELECT conv_id, turn, lower(string_split(text, ' ')[1]) AS entry FROM conversations)
         SELECT a.conv_id, a.turn, CAST(count(DISTINCT b.entry) AS INTEGER) AS n_entries FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY a.conv_id, a.turn""",
     "needs_inspection": f"""
-        WITH {NESTED} SELECT o_orderkey, CAST(count(l_orderkey) AS INTEGER) AS n_components FROM orders LEFT JOIN items ON o_orderkey = l_orderkey
-        GROUP BY o_orderkey HAVING count(l_orderkey) = 0 OR bool_or(round(1 - l_tax - l_discount, 4) < 0.85)""",
+        WITH {NESTED} SELECT o_orderkey, CAST(count(*) AS INTEGER) AS n_components FROM orders JOIN items ON o_orderkey = l_orderkey
+        GROUP BY o_orderkey HAVING bool_or(l_linenumber >= 6 OR round(1 - l_tax - l_discount, 4) < 0.8)""",
     "search_sets": f"""
         WITH {NESTED} SELECT o_orderkey, o_orderstatus FROM orders LEFT JOIN items ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'
         GROUP BY o_orderkey, o_orderstatus, o_orderpriority HAVING contains(lower(o_orderpriority), 'red') OR bool_or(contains(lower(p_name), 'red'))""",
@@ -121,8 +127,8 @@ SQL: dict[str, str] = {
         SELECT o_orderkey AS key, 'missing' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL
         SELECT key, 'extra' FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) WHERE key NOT IN (SELECT o_orderkey FROM orders)""",
     "token_overlap": """
-        WITH d AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) WHERE length(t) >= 6 GROUP BY ALL),
-        b AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE length(t) >= 6 GROUP BY ALL),
+        WITH d AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) WHERE length(t) >= 2 GROUP BY ALL),
+        b AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE length(t) >= 2 GROUP BY ALL),
         s AS (SELECT item_id, sum(n) AS size FROM b GROUP BY item_id),
         c AS (SELECT doc_id, item_id, sum(least(d.n, b.n)) AS common FROM d JOIN b USING (t) GROUP BY doc_id, item_id)
         SELECT doc_id, c.item_id, CAST(common AS BIGINT) AS common, CAST(size AS INTEGER) AS size FROM c JOIN s ON c.item_id = s.item_id WHERE common >= greatest(ceil(size * 0.5), 1)""",
@@ -133,10 +139,10 @@ SQL: dict[str, str] = {
               FROM l LEFT JOIN h ON l.doc_id = h.doc_id AND l.page = h.page AND h.head_y <= l.y0 + 2 AND l.y0 - h.head_y <= 140 WHERE l.n > 3)
         SELECT doc_id, line_no, coalesce(head_y, -1) AS head_y, coalesce(head_line, -1) AS head_line FROM j WHERE r = 1""",
     "nearest_header": f"""
-        WITH {WORDS}, h AS (SELECT doc_id, page, x0 AS mark FROM words WHERE k = 2 GROUP BY doc_id, page, x0 HAVING count(*) >= 2),
-        j AS (SELECT w.doc_id, w.line_no, w.x0, h.mark, row_number() OVER (PARTITION BY w.doc_id, w.line_no ORDER BY abs(h.mark - w.x0), h.mark) AS r
-              FROM words w LEFT JOIN h ON w.doc_id = h.doc_id AND w.page = h.page AND abs(h.mark - w.x0) <= 35 WHERE w.k = 3)
-        SELECT doc_id, line_no, x0, coalesce(mark, -1) AS nearest_mark FROM j WHERE r = 1""",
+        WITH {WORDS}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM words), h AS (SELECT DISTINCT doc_id, page, x0 AS mark FROM c WHERE n <= 6),
+        j AS (SELECT w.doc_id, w.line_no, w.k, w.x0, h.mark, row_number() OVER (PARTITION BY w.doc_id, w.line_no, w.k ORDER BY abs(h.mark - w.x0), h.mark) AS r
+              FROM c w LEFT JOIN h ON w.doc_id = h.doc_id AND w.page = h.page AND abs(h.mark - w.x0) <= 35 WHERE w.n > 6)
+        SELECT doc_id, line_no, k, x0, coalesce(mark, -1) AS nearest_mark FROM j WHERE r = 1""",
     "stratified_pages": f"""
         WITH {WORDS}, p AS (SELECT DISTINCT doc_id, page FROM words),
         n AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
@@ -156,8 +162,8 @@ SQL: dict[str, str] = {
         WITH {WORDS}, h AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (WHERE x1 - 2 <= 120 AND -1 <= x0 + 2) AS hits FROM words WHERE line_no % 9 = 0 GROUP BY doc_id, line_no)
         SELECT doc_id, line_no, CAST(n AS INTEGER) AS n_words FROM h WHERE hits >= greatest(2, n * 0.35)""",
     "heading_lines": rf"""
-        WITH {LINES} SELECT doc_id, line_no, CAST(line_no AS VARCHAR) AS set_number, CASE WHEN line_no % 3 = 0 THEN nullif(trim(substr(line, 1, 20)), '') END AS description
-        FROM lines WHERE line_no % 3 <> 1""",
+        WITH {LINES} SELECT doc_id, line_no, CAST(line_no AS VARCHAR) AS set_number, CASE WHEN line_no % 3 = 0 THEN nullif(trim(line), '') END AS description
+        FROM lines WHERE line_no % 3 = 2 OR (line_no % 3 = 0 AND length(trim('- ' || line)) <= 150)""",
     "quantity_parse": """
         WITH r AS (SELECT l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
         SELECT CASE WHEN n > 2 THEN CAST(q AS DOUBLE) END AS qty_num, CASE WHEN n = 1 THEN q || '/2' END AS qty_text, CASE WHEN n = 1 THEN q || '/2' WHEN n = 2 THEN 'A/R' ELSE CAST(q AS VARCHAR) END AS qty_raw, count(*) AS n
@@ -172,12 +178,16 @@ SQL: dict[str, str] = {
         SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS mfr, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_type || ' - ' || p_name END AS catalog_number FROM part""",
     "cell_join": """
         SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN '-' ELSE ' ' END || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type || ' ' END || p_brand AS joined FROM part""",
-    "notes_dedupe": f"""
-        WITH {LINES}, f AS (SELECT doc_id, line, min(line_no) AS n FROM lines WHERE line <> '' GROUP BY doc_id, line)
-        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_notes, sha256(string_agg(line, chr(10) ORDER BY n)) AS notes_sha256 FROM f GROUP BY doc_id""",
+    "notes_dedupe": rf"""
+        WITH {LINES}, n AS (SELECT doc_id, line_no, regexp_replace(line, '(?i)^notes?\s*:\s*', '') AS note FROM lines WHERE NOT regexp_matches(line, '(?i)^description\s*:')),
+        f AS (SELECT doc_id, note, min(line_no) AS n FROM n GROUP BY doc_id, note)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_notes, sha256(string_agg(note, chr(10) ORDER BY n)) AS notes_sha256 FROM f GROUP BY doc_id""",
     "alias_expansion": """
-        WITH a AS (SELECT o_orderkey, 'O' || o_orderkey AS set_number, false AS is_alias FROM orders UNION ALL SELECT o_orderkey, 'C' || o_custkey, true FROM orders WHERE o_orderpriority LIKE '1%')
-        SELECT o_orderkey, set_number, substr(sha256(o_orderkey || ':' || set_number), 1, 16) AS id, is_alias FROM a""",
+        WITH n AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+        o AS (SELECT orders.*, CAST(n AS INTEGER) AS n FROM orders JOIN n ON orders.o_orderkey = n.o_orderkey)
+        SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS set_number, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderstatus ELSE o_orderpriority END AS description,
+               n AS n_components, 1 AS n_notes, false AS is_alias FROM o
+        UNION ALL SELECT o_orderkey, 'C' || o_custkey, substr(sha256(o_orderkey || ':C' || o_custkey), 1, 16), o_orderstatus, n, 2, true FROM o WHERE o_orderpriority LIKE '1%'""",
     "text_inventory": f"""
         WITH {LINES}, p AS (SELECT doc_id, CAST((line_no - 1) // 5 + 1 AS INTEGER) AS page, line_no % 11 = 0 AS h, length(trim(CASE WHEN line_no % 11 = 0 THEN 'SET ' || line_no ELSE line END)) AS n FROM lines),
         g AS (SELECT doc_id, page, sum(n) < 60 AS poor, bool_or(h) AS h FROM p GROUP BY doc_id, page),
@@ -196,6 +206,6 @@ SQL: dict[str, str] = {
         SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(page) AS first_page, max(page) AS last_page FROM i GROUP BY l_orderkey, island""",
     "extract_schedules": """
         SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS set_number, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty, p_name AS description, p_brand AS catalog_number, l_returnflag AS finish, p_type AS mfr
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_linenumber = 2 AND o_custkey % 2 = 1 AND o_custkey % 7 <> 0)""",
     "line_grouping": f"WITH {WORDS}, l AS (SELECT doc_id, page, line_no, count(*) AS n FROM words GROUP BY doc_id, page, line_no) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words FROM l",
 }

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum import schemas
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import assignment, audit, metrics, overlay, relate, segments
+from vellum.functions.vocabulary import Vocabulary
+from vellum.operators import assignment, audit, columns, metrics, overlay, relate, segments
 from vellum.operators.lines import group_lines
-from vellum.plans.extract import extract
-from vellum.sources import scan
+from vellum.plans.extract import distinct_notes, extract, finish
+from vellum.sources import scan, sinks
 
 QUERIES: dict = {}
 
@@ -70,13 +72,15 @@ def continuation_islands(spark, sf_dir):
 
 @query
 def content_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Registers texts as files: of those whose content no labelled document has, one of each."""
+    docs = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "doc_id", F.sha2("text", 256).alias("sha256"))
+    registry = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return scan.new_files(docs, registry).select("sha256", "doc_id")
 
 
 @query
 def median_column_position(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.percentile("l_extendedprice", 0.5).alias("median_price"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(columns.middle("l_extendedprice").alias("median_price"), F.count("*").alias("n"))
 
 
 @query
@@ -93,7 +97,7 @@ def latest_correction(spark, sf_dir):
 def correction_overlay(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations")
     base = talks.where("turn = 0").select("conv_id", "role", "text")
-    return overlay.overlay(base, talks.where("turn > 1").select("conv_id", "turn", "role", "text"), ["conv_id"], ["role", "text"], ["turn"])
+    return overlay.overlay(base, talks.where("turn > 0").select("conv_id", "turn", "role", "text"), ["conv_id"], ["role", "text"], ["turn"])
 
 
 @query
@@ -127,12 +131,31 @@ def nested_assembly(spark, sf_dir):
     )
 
 
+def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as extracted sets (doc_id, position, set): a row for each item, with its place, confidence and warnings; an order of the first priority also stands under its customer's number."""
+    at = lambda page: F.array(F.struct(page.cast("int"), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))), F.lit(10.0), F.lit(10.0), F.lit(1), F.lit(1)))
+    null = F.lit(None).cast("string")
+
+    def row(c: Column) -> Column:
+        number = c["l_linenumber"].cast("string")
+        unsure = F.create_map(F.lit("qty"), F.round(1 - c["l_tax"] - c["l_discount"], 4))
+        warned = F.when(c["l_linenumber"] == 7, F.array(F.lit("seventh"))).otherwise(F.array().cast("array<string>"))
+        quantity = F.when(c["l_linenumber"] != 6, c["l_quantity"])
+        texts = (null, null, null, c["p_name"], c["p_brand"], c["l_returnflag"], null, null)
+        return F.struct(number, quantity, *texts, unsure, at(c["l_linenumber"]), F.lit(""), warned, F.lit(None), null, F.lit(False)).cast(schemas.COMPONENT)
+
+    orders = nested(spark, sf_dir)
+    first = F.col("o_orderpriority").startswith("1")
+    described = F.when(first, F.concat(F.lit("and #C"), "o_custkey", F.lit(" - "), "o_orderstatus")).otherwise(F.col("o_orderpriority"))
+    key, nothing = F.col("o_orderkey").cast("string"), F.array().cast("array<string>")
+    made = F.struct(key, key, described, F.lit("active"), at(F.lit(1)), F.transform("components", row), F.array(F.lit("Note: see list"), F.lit("see list")), nothing, F.lit(0.97), F.lit(False)).cast(schemas.SET)
+    return orders.select(key.alias("doc_id"), F.lit(0).alias("position"), made.alias("set"))
+
+
 @query
 def export_rows(spark, sf_dir):
     """One row per component, and one for a set without any."""
-    return nested(spark, sf_dir).select("o_orderkey", "o_orderpriority", F.explode_outer("components").alias("c")).select(
-        "o_orderkey", T.csv_guard("o_orderpriority").alias("priority"), known("c.l_linenumber").alias("line_number"), T.csv_guard("c.p_name").alias("description"), F.col("c.p_brand").alias("catalog_number"), F.col("c.l_quantity").alias("qty")
-    )
+    return sinks.export_rows(order_sets(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array("set").alias("sets")))
 
 
 @query
@@ -214,10 +237,9 @@ def legend_cumulative(spark, sf_dir):
 
 @query
 def needs_inspection(spark, sf_dir):
-    """Sets (orders) with an unsure row: a confidence of 1 - tax - discount below 0.85, or no row at all."""
-    sets = nested(spark, sf_dir)
-    unsure = F.exists("components", lambda c: F.round(1 - c["l_tax"] - c["l_discount"], 4) < 0.85)
-    return sets.where(unsure | (F.size("components") == 0)).select("o_orderkey", F.size("components").alias("n_components"))
+    """Sets (orders) with a row that is unsure, warned or without quantity."""
+    sets = order_sets(spark, sf_dir).select("set.*")
+    return sets.where(metrics.needs_inspection()).select(F.col("id").cast("long").alias("o_orderkey"), F.size("components").alias("n_components"))
 
 
 @query
@@ -264,10 +286,9 @@ def set_difference_both_ways(spark, sf_dir):
 
 @query
 def token_overlap(spark, sf_dir):
-    """Documents that hold half of a benchmark item's longer tokens."""
-    long = lambda c: F.filter(T.tokens(c), lambda t: F.length(t) >= 6)
-    docs = table(spark, sf_dir, "documents").select("doc_id", long("text").alias("tokens"))
-    return metrics.token_overlap(docs, table(spark, sf_dir, "benchmark").select("item_id", long("text").alias("tokens")), "doc_id", "item_id")
+    """Documents that hold half of a benchmark item's tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("tokens"))
+    return metrics.token_overlap(docs, table(spark, sf_dir, "benchmark").select("item_id", T.tokens("text").alias("tokens")), "doc_id", "item_id")
 
 
 @query
@@ -280,10 +301,10 @@ def as_of_header(spark, sf_dir):
 
 @query
 def nearest_header(spark, sf_dir):
-    """Each line's second word with the nearest of the page's short lines' right edges, within 35 points."""
-    w = words(spark, sf_dir)
-    heads = w.where("k = 2").groupBy("doc_id", "page", F.col("x0").alias("mark")).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    return relate.nearest(w.where("k = 3").select("doc_id", "page", "line_no", "x0"), heads, ["doc_id", "page"], "x0", "mark", 35, "nearest_mark").select("doc_id", "line_no", "x0", known("nearest_mark"))
+    """Each word of a longer line with the nearest left edge of a word in its page's short lines, within 35 points."""
+    w = words(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "line_no")))
+    heads = w.where("n <= 6").select("doc_id", "page", F.col("x0").alias("mark"))
+    return relate.nearest(w.where("n > 6").select("doc_id", "page", "line_no", "k", "x0"), heads, ["doc_id", "page"], "x0", "mark", 35, "nearest_mark").select("doc_id", "line_no", "k", "x0", known("nearest_mark"))
 
 
 @query
@@ -321,8 +342,8 @@ def struck_lines(spark, sf_dir):
 
 @query
 def heading_lines(spark, sf_dir):
-    """Identified headings: every line's first word put after the word Set, with the line's start as its tail."""
-    made = F.concat(F.lit("SET "), F.col("line_no"), F.when(F.col("line_no") % 3 == 0, " - ").when(F.col("line_no") % 3 == 1, " of ").otherwise(""), F.when(F.col("line_no") % 3 == 2, "").otherwise(F.substring("line", 1, 20)))
+    """Identified headings: every line's first word put after the word Set, with the line as its tail."""
+    made = F.concat(F.lit("SET "), F.col("line_no"), F.when(F.col("line_no") % 3 == 0, " - ").when(F.col("line_no") % 3 == 1, " of ").otherwise(""), F.when(F.col("line_no") % 3 == 2, "").otherwise(F.col("line")))
     found = lines(spark, sf_dir).select("doc_id", "line_no", T.identify_header(made).alias("h")).where("h IS NOT NULL")
     return found.select("doc_id", "line_no", F.col("h.set_number").alias("set_number"), F.col("h.description").alias("description"))
 
@@ -359,18 +380,16 @@ def cell_join(spark, sf_dir):
 
 @query
 def notes_dedupe(spark, sf_dir):
-    """Distinct lines of a document in order of first occurrence."""
-    docs = table(spark, sf_dir, "documents")
-    notes = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: x != "")
-    return docs.select("doc_id", F.size(notes).alias("n_notes"), F.sha2(F.array_join(notes, "\n"), 256).alias("notes_sha256"))
+    """Distinct lines of a document in order of first occurrence, as notes."""
+    notes = distinct_notes(F.split("text", "\n", -1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(notes).alias("n_notes"), F.sha2(F.array_join(notes, "\n"), 256).alias("notes_sha256"))
 
 
 @query
 def alias_expansion(spark, sf_dir):
-    """Sets named `and`: an order with priority 1 also stands under its customer's number."""
-    orders = table(spark, sf_dir, "orders")
-    names = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.concat(F.lit("O"), "o_orderkey"), F.concat(F.lit("C"), "o_custkey"))).otherwise(F.array(F.concat(F.lit("O"), "o_orderkey")))
-    return orders.select("o_orderkey", F.posexplode(names).alias("n", "set_number")).select("o_orderkey", "set_number", T.short_id(F.concat_ws(":", "o_orderkey", "set_number")).alias("id"), (F.col("n") > 0).alias("is_alias"))
+    """Sets named `and`: an order of the first priority also stands under its customer's number."""
+    found = finish(order_sets(spark, sf_dir))
+    return found.select(F.col("doc_id").cast("long").alias("o_orderkey"), F.col("set.set_number").alias("set_number"), F.col("set.id").alias("id"), F.col("set.description").alias("description"), F.size("set.components").alias("n_components"), F.size("set.notes").alias("n_notes"), (F.col("late") > 0).alias("is_alias"))
 
 
 @query
@@ -396,32 +415,70 @@ def page_runs(spark, sf_dir):
     return segments.page_islands(pages, ["l_orderkey"]).groupBy("l_orderkey", "island").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
-def schedule_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, pages) of printed schedules: a document for each customer, a page for each order, a row for each item."""
+#: The words of the printed orders, as a caller's vocabulary.
+TRADE = {"maker": "STANDARD ECONOMY MEDIUM PROMO LARGE SMALL", "finish": "R N A", "noun": "ring bolt gear gizmo anvil plate rod widget"}
+#: Where the columns of a printed order begin, and its labels.
+PLACES, PRINTED = (60, 100, 250, 430, 500), ("QTY", "DESCRIPTION", "CATALOG", "FINISH", "MFR")
+#: Items on a page of a printed order; the others follow on the next page.
+PER_PAGE = 4
+
+
+def printed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with its document (a customer), its order's first page, its page, its place there and how the document is printed."""
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    cell = lambda role, x, text: F.struct(F.lit(role).alias("role"), F.lit(float(x)).alias("x"), text.alias("text"))
-    row = F.array(cell(0, 60, F.col("l_quantity").cast("int").cast("string")), cell(1, 100, F.col("p_name")), cell(2, 250, F.col("p_brand")), cell(3, 400, F.col("l_returnflag")), cell(4, 500, F.col("p_type")))
-    place = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = items.select(F.col("o_custkey").alias("doc_id"), "o_orderkey", (F.lit(120) + 20 * F.row_number().over(place)).alias("y"), row.alias("cells"))
-    orders = items.select(F.col("o_custkey").alias("doc_id"), "o_orderkey").distinct()
-    heading = F.array(cell(0, 60, F.concat(F.lit("HARDWARE SET: "), "o_orderkey")))
-    labels = F.array(*[cell(i, x, F.lit(t)) for i, (x, t) in enumerate([(60, "QTY"), (100, "DESCRIPTION"), (250, "CATALOG"), (400, "FINISH"), (500, "MFR")])])
-    lines_ = rows.unionByName(orders.select("doc_id", "o_orderkey", F.lit(100).alias("y"), heading.alias("cells"))).unionByName(orders.select("doc_id", "o_orderkey", F.lit(120).alias("y"), labels.alias("cells")))
-    pages = orders.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) * 2)  # no page follows another, so no set continues
-    cells = lines_.join(pages, ["doc_id", "o_orderkey"]).select(F.col("doc_id").cast("string").alias("doc_id"), "page", "y", F.explode("cells").alias("c"))
+    nth = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rank = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    out = items.withColumns({"nth": nth, "rank": rank})
+    page = F.col("rank") * 2 - F.when(F.col("nth") > PER_PAGE, 0).otherwise(1)
+    return out.withColumns({"doc_id": F.col("o_custkey").cast("string"), "page": page, "place": F.col("nth") - F.when(F.col("nth") > PER_PAGE, 1 + PER_PAGE).otherwise(1), "is_grid": F.col("o_custkey") % 7 == 0})
+
+
+def schedule_words(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, pages, strikes) of printed schedules: an order begins with a heading and may go on on the next page.
+
+    A third of the documents label every order's columns, a third the first order's only, a third none. Every
+    fourth item's description goes over two lines where there are labels; every second document strikes its second items out."""
+    cell = lambda k, text: F.struct(F.lit(k).alias("role"), F.lit(float(PLACES[k])).alias("x"), text.alias("text"))
+    labels = F.col("o_custkey") % 3
+    wrapped, name = (labels > 0) & (F.col("l_linenumber") % 4 == 3), F.split("p_name", " ")
+    rows = items.withColumn("y", F.lit(150) + 20 * F.col("place"))
+    first = F.array(cell(0, F.col("l_quantity").cast("int").cast("string")), cell(1, F.when(wrapped, name[0]).otherwise(F.col("p_name"))), cell(2, F.col("p_brand")), cell(3, F.col("l_returnflag")), cell(4, F.col("p_type")))
+    heads = items.where("nth = 1")
+    lines_ = rows.select("doc_id", "page", "y", first.alias("cells"))
+    lines_ = lines_.unionByName(rows.where(wrapped).select("doc_id", "page", (F.col("y") + 9).alias("y"), F.array(cell(1, name[1])).alias("cells")))
+    lines_ = lines_.unionByName(heads.select("doc_id", "page", F.lit(100).alias("y"), F.array(cell(0, F.concat(F.lit("HARDWARE SET: "), "o_orderkey"))).alias("cells")))
+    labelled = heads.where((labels == 1) | ((labels == 2) & (F.col("rank") == 1)))
+    lines_ = lines_.unionByName(labelled.select("doc_id", "page", F.lit(120).alias("y"), F.array(*[cell(k, F.lit(t)) for k, t in enumerate(PRINTED)]).alias("cells")))
     step = lambda acc, w: F.struct((acc["x"] + 5 * (F.length(w) + 1)).alias("x"), F.concat(acc["out"], F.array(F.struct(acc["x"].alias("x"), w.alias("w")))).alias("out"))
     parts = F.aggregate(F.split("c.text", " "), F.struct(F.col("c.x").alias("x"), F.array().cast("array<struct<x:double,w:string>>").alias("out")), step)["out"]
-    placed = cells.select("doc_id", "page", "y", "c.role", F.posexplode(parts).alias("k", "p"))
+    placed = lines_.select("doc_id", "page", "y", F.explode("cells").alias("c")).select("doc_id", "page", "y", "c.role", F.posexplode(parts).alias("k", "p"))
     y = F.col("y").cast("double")
-    words_ = placed.select("doc_id", "page", (F.col("y") * 1000 + F.col("role") * 100 + F.col("k")).cast("int").alias("word_seq"), F.col("p.x").alias("x0"), y.alias("y0"), (F.col("p.x") + 5 * F.length("p.w")).alias("x1"), (y + 9).alias("y1"), F.col("p.w").alias("text"), F.lit(False).alias("rotated"))
-    facts = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("ocr"))
-    return words_, facts
+    seq = (F.col("y") * 1000 + F.col("role") * 100 + F.col("k")).cast("int").alias("word_seq")
+    words_ = placed.select("doc_id", "page", seq, F.col("p.x").alias("x0"), y.alias("y0"), (F.col("p.x") + 5 * F.length("p.w")).alias("x1"), (y + 9).alias("y1"), F.col("p.w").alias("text"), F.lit(False).alias("rotated"))
+    struck = rows.where((F.col("o_custkey") % 2 == 1) & (F.col("l_linenumber") == 2))
+    strikes = struck.select("doc_id", "page", F.lit(50.0).alias("x0"), F.lit(600.0).alias("x1"), (F.col("y") + 9 * G.STRIKE_AT).cast("double").alias("y"))
+    pages = items.select("doc_id", "page").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("ocr"))
+    return words_, pages, strikes
+
+
+def schedule_grid(items: DataFrame) -> DataFrame:
+    """Cells of ruled schedules: a table for each page, the set's cell merged over its rows and blank where an order goes on."""
+    texts = F.array(F.when(F.col("nth") == 1, F.col("o_orderkey").cast("string")).otherwise(F.lit("")), F.col("p_name"), F.concat_ws(" - ", "p_type", "p_brand"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"), F.lit(""))
+    heads = F.array(*map(F.lit, ("SET", "HARDWARE TYPE", "MANUFACTURER - PRODUCT", "QTY", "FINISH", "NOTES")))
+    rows = items.select("doc_id", "page", (F.col("place") + 1).alias("row_no"), texts.alias("t")).unionByName(items.where("place = 0").select("doc_id", "page", F.lit(0).alias("row_no"), heads.alias("t")))
+    cells = rows.select("doc_id", "page", F.lit(0).alias("table_no"), "row_no", F.posexplode("t").alias("col_no", "text"))
+    x, y = F.col("col_no") * 100.0, F.col("row_no") * 34.0 + 60
+    return cells.select("*", x.alias("x0"), y.alias("y0"), (x + 99).alias("x1"), (y + 33).alias("y1"))
 
 
 @query
 def extract_schedules(spark, sf_dir):
-    """The whole extraction over printed orders gives the items back."""
-    found = extract(*schedule_words(spark, sf_dir))["components"]
+    """The whole extraction over printed orders gives the items back, but for those struck out."""
+    kinds = [(k, v) for k, vs in TRADE.items() for v in vs.split()]
+    items = printed_orders(spark, sf_dir)
+    words_, _, strikes = schedule_words(items.where("NOT is_grid"))
+    pages = schedule_words(items)[1]
+    found = extract(words_, pages, strikes, schedule_grid(items.where("is_grid")), Vocabulary.read(spark.createDataFrame(kinds, "kind string, value string")))["components"]
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "set_number", F.col("qty_num").alias("qty"), "description", "catalog_number", "finish", "mfr")
 
 

@@ -21,8 +21,15 @@ def new_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(registry.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(F.min_by(F.struct(*[c for c in files.columns if c != "sha256"]), "path").alias("f")).select("sha256", "f.*")
 
 
-def select_pages(pages: DataFrame, wanted: list[int] | None) -> DataFrame:
-    return pages if wanted is None else pages.where(F.col("page").isin(wanted))
+def select_pages(pages: DataFrame, wanted: list[int] | None, counts: DataFrame | None = None) -> DataFrame:
+    """The rows of the wanted pages. counts (doc_id, page_count): a wanted page beyond a document's last is an error."""
+    if wanted is None:
+        return pages
+    if counts is not None:
+        short = counts.where(F.col("page_count") < max(wanted)).orderBy("doc_id").first()
+        if short or min(wanted) < 1:
+            raise ValueError(f"pages must lie in 1 to {short['page_count'] if short else max(wanted)}")
+    return pages.where(F.col("page").isin(wanted))
 
 
 def load_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,9 +90,11 @@ CHAR, LEADING, HEIGHT, PAGE_LINES = 6, 12, 10, 50
 def derive_words(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Words with boxes from plain lines, at fixed pitch; pages of PAGE_LINES lines. Empty tokens hold their place and are then dropped.
 
-    A word's place is the length of the line before it, so no shuffle and no state is needed."""
-    placed = lines.select(id_col, "line_no", "line", F.posexplode(F.split("line", " ", -1)).alias("k", "w")).where("w <> ''")
-    x = F.expr("if(k = 0, 0, length(substring_index(line, ' ', k)) + 1)")
+    A word's place is the sum of the lengths before it in its line: one window, linear in the words, on (id, line), a
+    partitioning that groupings by line then reuse. The lines' texts are not carried through it."""
+    tokens = lines.select(id_col, "line_no", F.posexplode(F.split("line", " ", -1)).alias("k", "w"))
+    before = Window.partitionBy(id_col, "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("x", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0))).where("w <> ''")
     y: Column = ((F.col("line_no") - 1) % PAGE_LINES) * LEADING
     return placed.select(
         id_col,
@@ -93,8 +102,8 @@ def derive_words(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
         "line_no",
         (F.col("k") + 1).cast("long").alias("k"),
         F.col("w").alias("text"),
-        (x * CHAR).cast("long").alias("x0"),
+        (F.col("x") * CHAR).cast("long").alias("x0"),
         y.cast("long").alias("y0"),
-        ((x + F.length("w")) * CHAR).cast("long").alias("x1"),
+        ((F.col("x") + F.length("w")) * CHAR).cast("long").alias("x1"),
         (y + HEIGHT).cast("long").alias("y1"),
     )
