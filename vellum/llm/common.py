@@ -50,22 +50,26 @@ def remove(uri: str) -> None:
     store.delete_dir(path)
 
 
-#: A key with more rows than this, and than this share of all rows, is broadcast by join_groups(): at most HEAVY_MOST keys.
+#: join_groups() broadcasts groups up to so many (some 60 bytes each).
+BROADCAST_GROUPS = 200_000
+#: Beyond, it broadcasts the keys with more rows than this, and than this share of all rows: at most HEAVY_MOST keys.
 HEAVY_ROWS, HEAVY_MOST = 1_000, 100_000
 #: Rows that one task of join_groups() takes, about.
 TASK_ROWS = 200_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined on keys with groups: one row for each key, with the number n of the key's rows. total: of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined on keys with groups: one row for each key, with the number n of the key's rows. total: of all rows; most: of groups at most, counted if null.
 
-    A key that holds many rows is broadcast and its rows stay where they are; there are at most HEAVY_MOST such keys,
-    since each holds more than that share of the rows. All others are shuffled, in tasks that follow `total`."""
-    least = max(HEAVY_ROWS, total // HEAVY_MOST)
-    tasks = max(1, math.ceil(total / TASK_ROWS))
-    heavy = F.broadcast(groups.where(F.col(n) > least))
-    here = rows.join(heavy, keys)
-    rest = rows.join(F.broadcast(groups.where(F.col(n) > least).select(*keys)), keys, "left_anti").repartition(tasks, *keys)
+    Few groups are broadcast. Of many, a key that holds many rows is broadcast and its rows stay where they are; there
+    are at most HEAVY_MOST such keys, since each holds more than that share of the rows. All others are shuffled, in
+    tasks that follow `total`."""
+    if (most if most is not None else groups.count()) <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys, how)
+    groups, least, tasks = checkpoint(groups), max(HEAVY_ROWS, total // HEAVY_MOST), max(1, math.ceil(total / TASK_ROWS))
+    heavy = groups.where(F.col(n) > least)
+    here = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").repartition(tasks, *keys)
     return here.unionByName(rest.join(groups.where(F.col(n) <= least).repartition(tasks, *keys), keys, how))
 
 

@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """n edges (u, v), u > v. Large: each vertex's larger neighbours are hung on its least neighbour; small: its smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    joined = join_groups(both, least, ["u"], "n", 2 * n if large else n)
+    joined = join_groups(both, least, ["u"], "n", 2 * n if large else n, most=2 * n)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

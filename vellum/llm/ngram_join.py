@@ -127,7 +127,7 @@ def paths(reps: DataFrame, n: int, first: int, runs: int) -> tuple[list[DataFram
     level, total = _split(reps.select("rep", "sig", roots.alias("path"), F.lit(1 << 60).alias("parent"))), 2 * n * runs
     for depth in range(DEPTH):
         level = checkpoint(level)
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = checkpoint(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
         level = checkpoint(join_groups(level, sizes, ["path"], "size", total))
         ends = (F.col("size") >= ALIKE * F.col("parent")) | F.lit(depth == DEPTH - 1)
         leaves.append(level.where(F.col("size") <= LEAF).select("rep", "path"))
@@ -142,7 +142,8 @@ def paths(reps: DataFrame, n: int, first: int, runs: int) -> tuple[list[DataFram
 
 def probes(reps: DataFrame) -> DataFrame:
     """(u, v): PROBES sets at most, each with its partner that agrees least, of those that agree in 0.8 of the coordinates; sets without one are left out."""
-    first = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(PROBES).collect()
+    chosen = checkpoint(reps.select("rep").orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(PROBES))
+    first = reps.join(F.broadcast(chosen), "rep", "left_semi").collect()  # PROBES rows
     if not first:
         return reps.sparkSession.createDataFrame([], "u long, v long")
     ids, table = np.array([r["rep"] for r in first]), np.array([r["sig"] for r in first], np.int32).T.copy()
@@ -298,7 +299,7 @@ def candidate_links(reps: DataFrame, n: int) -> DataFrame:
         compared = leaf.join(reps, "rep").select("path", "rep", "sig").repartition(max(1, math.ceil(n_leaf / TASK_PATHS)), "path")
         edges = compared.sortWithinPartitions("path", "rep").mapInPandas(_compare_leaves, "u long, v long")
         least = same.groupBy("path").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
-        stars = join_groups(same.select("rep", "path"), least, ["path"], "n", n_alike).select(F.col("rep").alias("u"), "v")
+        stars = join_groups(same.select("rep", "path"), least, ["path"], "n", n_alike, most=n_alike).select(F.col("rep").alias("u"), "v")
         links.append(checkpoint(edges.unionByName(stars).distinct()))
         if not wanted:
             break
@@ -314,15 +315,16 @@ def join(docs: DataFrame) -> DataFrame:
     rows = signatures(docs)
     n_rows = rows.count()
     groups = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
-    rows = checkpoint(join_groups(rows, groups, ["d1", "d2"], "copies", n_rows, "left").withColumns({"rep": F.coalesce("rep", "row"), "copies": F.coalesce("copies", F.lit(1))}))
+    rows = checkpoint(join_groups(rows, groups, ["d1", "d2"], "copies", n_rows, "left", n_rows).withColumns({"rep": F.coalesce("rep", "row"), "copies": F.coalesce("copies", F.lit(1))}))
     sets = rows.where("row = rep AND n > 0")
-    reps = sets.select("rep", "sig")
-    candidates = components(candidate_links(reps, sets.count()))
+    reps, n_reps = sets.select("rep", "sig"), sets.count()
+    candidates = components(candidate_links(reps, n_reps))
 
     members = checkpoint(sets.select("rep", "n", "copies", "doc_id", "text_hash").join(candidates.select(F.col("id").alias("rep"), "root"), "rep"))
     sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     k = F.ceil(F.greatest(F.col("size") / F.greatest(GROWTH * F.sqrt("size"), F.lit(BLOCK)), F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    placed = join_groups(members, sizes.select("root", "size", k.alias("k")), ["root"], "size", members.count())
+    n_members = members.count()
+    placed = join_groups(members, sizes.select("root", "size", k.alias("k")), ["root"], "size", n_members, most=n_members)
     wanted = checkpoint(placed.select("rep", "copies", "doc_id", "text_hash", "root", "k", "n", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("block")))
     shipped = wanted.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shipped / BLOCK_SHINGLES))
@@ -334,9 +336,9 @@ def join(docs: DataFrame) -> DataFrame:
     classes = components(exact.select(F.col("rep").alias("u"), F.col("to").alias("v"))).select(F.col("id").alias("rep"), F.col("root").alias("class"))
     linked = checkpoint(links.join(classes, "rep").join(sets.select("rep", "copies"), "rep"))
     narrow = rows.select("row", "rep", "doc_id", "text_hash", F.col("copies").alias("rows"))
-    out = checkpoint(join_groups(narrow, linked, ["rep"], "copies", n_rows, "left").withColumn("class", F.coalesce("class", "rep")))
+    out = checkpoint(join_groups(narrow, linked, ["rep"], "copies", n_rows, "left", n_reps).withColumn("class", F.coalesce("class", "rep")))
     least = out.groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("least"), F.count("*").alias("class_size"))
-    marked = join_groups(out, least, ["class"], "class_size", n_rows)
+    marked = join_groups(out, least, ["class"], "class_size", n_rows, most=n_rows)
     return marked.select("doc_id", "text_hash", F.col("least.id").alias("class_id"), (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "class_size", (F.col("least.row") == F.col("row")).alias("first"))
 
 
