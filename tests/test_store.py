@@ -56,8 +56,11 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame(words, schemas.WORDS).write.parquet(str(tmp_path / "w"))
     spark.createDataFrame(facts, schemas.PAGES).write.parquet(str(tmp_path / "p"))
     spark.createDataFrame([("plain", "plain.pdf", "x", "x/plain.pdf")], "doc_id string, name string, project string, source_path string").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([("noun", n) for n in ("hinge", "stop", "silencer", "closer", "seal", "lockset")], "kind string, value string").write.parquet(str(tmp_path / "v"))
     at = str(tmp_path / "s")
-    assert main(["extract", "--words", str(tmp_path / "w"), "--pages", str(tmp_path / "p"), "--registry", str(tmp_path / "r"), "--store", at]) == 0
+    assert main(["extract", "--words", str(tmp_path / "w"), "--pages", str(tmp_path / "p"), "--only", "2,9", "--store", at]) == 1
+    assert "pages must lie in 1 to 3" in capsys.readouterr().err
+    assert main(["extract", "--words", str(tmp_path / "w"), "--pages", str(tmp_path / "p"), "--registry", str(tmp_path / "r"), "--vocabulary", str(tmp_path / "v"), "--store", at]) == 0
     assert json.loads(capsys.readouterr().out) == {"documents": 1, "sets": 3}
     (tmp_path / "gold.json").write_text('[{"source_path": "plain.pdf", "page": 1, "set_number": "01", "components": [{"description": "hinge", "mfr": "IVE"}]}]')
     assert main(["evaluate", "--gold", str(tmp_path / "gold.json"), "--store", at]) == 0

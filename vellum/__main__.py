@@ -1,10 +1,10 @@
 """Command line: extract, evaluate and export.
 
-    python -m vellum extract --words W --pages P [--strikes S] [--grid G] [--registry R] [--only 1-3,5] --store DIR
+    python -m vellum extract --words W --pages P [--strikes S] [--grid G] [--registry R] [--vocabulary V] [--only 1-3,5] --store DIR
     python -m vellum evaluate --gold FILE --store DIR
     python -m vellum export --store DIR --to DIR [--format csv|json]
 
-Tables are Parquet. Exit code 1 on an error.
+Tables are Parquet. Exit code 1 on an error, 130 when interrupted.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     extract = verbs.add_parser("extract")
     for name in ("words", "pages", "store"):
         extract.add_argument(f"--{name}", required=True)
-    for name in ("strikes", "grid", "registry"):
+    for name in ("strikes", "grid", "registry", "vocabulary"):
         extract.add_argument(f"--{name}")
     extract.add_argument("--only", type=pages)
     evaluate = verbs.add_parser("evaluate")
@@ -45,7 +45,9 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
+    from vellum.functions.vocabulary import NONE, Vocabulary
     from vellum.operators.evaluate import evaluate as measure
     from vellum.plans.extract import extract as read
     from vellum.plans.extract import results
@@ -56,8 +58,11 @@ def main(args: list[str] | None = None) -> int:
     store = Store(spark, given.store)
     try:
         if given.verb == "extract":
+            counts = spark.read.parquet(given.pages).groupBy("doc_id").agg(F.max("page").alias("page_count"))
+            scan.select_pages(counts, given.only, counts)  # a page that isn't there is an error
             table = lambda p: scan.select_pages(spark.read.parquet(p), given.only) if p else None
-            found = read(table(given.words), table(given.pages), table(given.strikes), table(given.grid))
+            words = Vocabulary.read(spark.read.parquet(given.vocabulary)) if given.vocabulary else NONE
+            found = read(table(given.words), table(given.pages), table(given.strikes), table(given.grid), words)
             known = spark.read.parquet(given.registry) if given.registry else spark.createDataFrame([], REGISTRY).withColumnRenamed("id", "doc_id")
             store.save(results(found, known.select("doc_id", "name", "project", "source_path")))
             print(json.dumps(store.saved().selectExpr("count(*) documents", "sum(size(sets)) sets").first().asDict()))
@@ -68,6 +73,8 @@ def main(args: list[str] | None = None) -> int:
             sinks.write_csv(store.current(), given.to)
         else:
             sinks.export_json(store.current()).select("json").write.mode("overwrite").text(given.to)
+    except KeyboardInterrupt:
+        return 130
     except Exception as error:  # a message and a code, as a command should
         print(f"error: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1

@@ -22,13 +22,14 @@ def new_files(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def select_pages(pages: DataFrame, wanted: list[int] | None, counts: DataFrame | None = None) -> DataFrame:
-    """The rows of the wanted pages. counts (doc_id, page_count): a wanted page beyond a document's last is an error."""
+    """The rows of the wanted pages. counts (doc_id, page_count): a wanted page beyond a document's last is an error, and pages are returned as they are."""
     if wanted is None:
         return pages
     if counts is not None:
         short = counts.where(F.col("page_count") < max(wanted)).orderBy("doc_id").first()
         if short or min(wanted) < 1:
             raise ValueError(f"pages must lie in 1 to {short['page_count'] if short else max(wanted)}")
+        return pages
     return pages.where(F.col("page").isin(wanted))
 
 
