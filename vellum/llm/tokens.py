@@ -1,8 +1,8 @@
 """Token ids of texts, the same as the tokenizers library gives for byte_bpe_50k.json.
 
 The same merges lie beside the tokenizer file as ranks, and are read by a library that encodes a text
-several times as fast. Texts that hold a special token's string or a long run of white space, on which
-that library fails, go through the tokenizers library itself, and so does everything when there is no rank file.
+several times as fast. Texts that hold a special token's string, and those with a run of white space so long
+that that library gives up, go through the tokenizers library itself, and so does everything when there is no rank file.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ import re
 import numpy as np
 
 
-#: Runs of white space from this length on are left to the tokenizers library.
-_LONG_RUN = re.compile(r"\s{2000}")
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -43,7 +39,7 @@ class Encoder:
             self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def _plain(self, text: str) -> bool:
-        return self.ranked is not None and not any(s in text for s in self.special) and not _LONG_RUN.search(text)
+        return self.ranked is not None and not any(s in text for s in self.special)
 
     def _ids(self, text) -> list[int]:
         text = text if isinstance(text, str) else ""

@@ -36,7 +36,7 @@ from vellum.llm.tokens import encoder
 
 LENGTH, PER_SHARD, END, ROUNDS = 2048, 4096, 50256, 4
 #: Shards (16 MB each at these sizes) that one task writes, and tasks at most; beyond, a task writes more shards, one after the other.
-TASK_SHARDS, MOST_TASKS = 4, 20_000
+TASK_SHARDS, MOST_TASKS = 1, 20_000
 
 
 class Feistel:
