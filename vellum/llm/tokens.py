@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -53,7 +54,7 @@ class Encoder:
 
     def encode(self, text) -> np.ndarray:
         """Null counts as empty."""
-        return np.array(self._ids(text), np.uint32)
+        return np.frombuffer(array("I", self._ids(text)), np.uint32)
 
     def count(self, text) -> int:
         """len(encode(text))."""
