@@ -1,8 +1,8 @@
 """Training order on disk: every sequence of token ids at a pseudo-random global slot, in fixed-stride binary shards.
 
 1. Each partition's documents, an end id after each, are one stream of ids, cut into sequences of
-   `length`; the last is filled up with the end id. A first pass counts each partition's sequences,
-   which gives every sequence a dense number from 0 to n - 1.
+   `length`; the last is filled up with the end id. They are encoded once, into a checkpoint of compressed blocks of
+   consecutive sequences. The number of sequences in each partition gives every sequence a dense number from 0 to n - 1.
 2. A keyed Feistel network permutes the numbers of 2 * `half` bits; a result beyond n - 1 is put in
    again until it falls below (cycle-walking), which makes it a permutation of 0 to n - 1. It needs no
    table and no sort of keys: any task can compute a slot, or invert it.
@@ -11,8 +11,8 @@
    resumes there. A shard is written under a temporary name and moved into place, so that a
    repeated task leaves the same file.
 
-The second pass reads docs again. Each task checks that its partition has the rows and ids that were
-counted and fails otherwise; give a checkpoint for a DataFrame whose partitions may change.
+A lost executor costs the tasks it ran: the numbering rests on the checkpoint and not on docs, whose partitions may
+change when they are read again.
 
 Defined results: null and empty texts are an end id alone; very long texts go over as many sequences as they need; repeated
 rows appear as often as they occur; an empty table gives no shard and no rows; other columns are left out, whatever their names.
@@ -20,6 +20,7 @@ rows appear as often as they occur; an empty table gives no shard and no rows; o
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ from vellum.llm.tokens import encoder
 LENGTH, PER_SHARD, END, ROUNDS = 2048, 4096, 50256, 4
 #: Shards (16 MB each at these sizes) that one task writes, and tasks at most; beyond, a task writes more shards, one after the other.
 TASK_SHARDS, MOST_TASKS = 1, 20_000
+#: Sequences of one compressed block of the checkpoint (2 MB at 2048 ids of two bytes), and the level it is compressed at.
+BLOCK, BLOCK_LEVEL = 512, 6
 
 
 class Feistel:
@@ -94,46 +97,31 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, pe
     """Writes docs (doc_id, text) to folder. A row for each sequence: slot, shard, position (in bytes), doc_ids, ids_crc32."""
     kind = "<u2" if end_id < 1 << 16 and encoder(tokenizer).whole.get_vocab_size() <= 1 << 16 else "<u4"
     stride = length * np.dtype(kind).itemsize
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        length_of, n, rows = encoder(tokenizer).count, 0, 0
-        for batch in batches:
-            rows += len(batch)
-            n += len(batch) + sum(map(length_of, batch["text"]))
-        if rows:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "rows": [rows], "ids": [n]})
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, pack, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress, 0
+        streams = _streams(batches, length, end_id, tokenizer)
+        while held := list(itertools.islice(streams, BLOCK)):
+            doc_ids, data = zip(*held, strict=True)
+            yield pd.DataFrame({"part": [part], "first": [first], "n": [len(held)], "doc_ids": [list(doc_ids)], "data": [pack(np.concatenate(data).astype(kind).tobytes())]})
+            first += len(held)
 
-    counted = sorted(tuple(r) for r in docs.mapInPandas(count, "part int, rows long, ids long").collect())  # three numbers for each partition
+    encoded = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(blocks, "part int, first long, n long, doc_ids array<array<long>>, data binary"))
     base, n = {}, 0
-    for part, rows, ids in counted:
-        base[part] = (n, rows, ids)
-        n += -(-ids // length)
+    for part, many in sorted(tuple(r) for r in encoded.groupBy("part").agg(F.sum("n")).collect()):  # two numbers for each partition
+        base[part] = n
+        n += many
     order = Feistel(max(1, n), key)
     known = docs.sparkSession.sparkContext.broadcast(base)
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, rows, ids = known.value.get(TaskContext.get().partitionId(), (0, 0, 0))
-        seen, pack = [0], zstandard.ZstdCompressor(level=3).compress
-
-        def counting() -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                seen[0] += len(batch)
-                yield batch
-
-        out: list[tuple] = []
-        k = 0
-        for doc_ids, stream in _streams(counting(), length, end_id, tokenizer):
-            data = stream.astype(kind).tobytes()
-            out.append((first + k, doc_ids, zlib.crc32(data), pack(data)))
-            k += 1
-            if len(out) >= 2000:
-                yield _placed(out, order, per_shard)
-                out = []
-        if (seen[0], k) != (rows, -(-ids // length)):
-            raise ValueError("the partitions of docs have changed between two reads; give a checkpoint of it")
-        if out:
-            yield _placed(out, order, per_shard)
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part, first, many, doc_ids, data in zip(batch["part"], batch["first"], batch["n"], batch["doc_ids"], batch["data"], strict=True):
+                whole = unpack(data)
+                each = [whole[k : k + stride] for k in range(0, many * stride, stride)]
+                slots = order.slots(known.value[part] + first + np.arange(many))
+                yield pd.DataFrame({"slot": slots, "shard": slots // per_shard, "doc_ids": list(doc_ids), "ids_crc32": [zlib.crc32(x) for x in each], "data": [pack(x) for x in each]})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = open_store(folder)
@@ -158,19 +146,13 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, pe
             yield batch[["slot", "shard", "doc_ids", "ids_crc32"]].assign(position=(batch["slot"] - batch["shard"] * per_shard) * stride)[["slot", "shard", "position", "doc_ids", "ids_crc32"]]
         close()
 
-    placed = docs.mapInPandas(sequences, "slot long, shard long, doc_ids array<long>, ids_crc32 long, data binary")
+    placed = encoded.mapInPandas(sequences, "slot long, shard long, doc_ids array<long>, ids_crc32 long, data binary")
     shards = max(1, -(-n // per_shard))
     tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))
     ranges = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
     return checkpoint(ranges.sortWithinPartitions("shard", "slot").mapInPandas(write, "slot long, shard long, position long, doc_ids array<long>, ids_crc32 long"))
 
 
-def _placed(rows: list[tuple], order: Feistel, per_shard: int) -> pd.DataFrame:
-    numbers, doc_ids, crc, data = zip(*rows, strict=True)
-    slots = order.slots(numbers)
-    return pd.DataFrame({"slot": slots, "shard": slots // per_shard, "doc_ids": doc_ids, "ids_crc32": crc, "data": data})
-
-
 def read_slots(folder: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:
     """The sequences of n slots from `first`, as a trainer resumes: one seek, then sequential reads."""
     store, path = open_store(folder)
