@@ -38,8 +38,8 @@ from vellum.llm.tokens import encoder
 LENGTH, PER_SHARD, END, ROUNDS = 2048, 4096, 50256, 4
 #: Shards (16 MB each at these sizes) that one task writes, and tasks at most; beyond, a task writes more shards, one after the other.
 TASK_SHARDS, MOST_TASKS = 1, 20_000
-#: Sequences of one compressed block of the checkpoint (2 MB at 2048 ids of two bytes), and the level it is compressed at.
-BLOCK, BLOCK_LEVEL = 512, 6
+#: Sequences of one compressed block of the checkpoint (4 MB at 2048 ids of two bytes), and the level it is compressed at.
+BLOCK, BLOCK_LEVEL = 1024, 9
 
 
 class Feistel:
