@@ -69,3 +69,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["export", "--store", at, "--to", str(tmp_path / "csv")]) == 0 and spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 7
     assert main(["evaluate", "--gold", str(tmp_path / "none.json"), "--store", at]) == 1
     assert pages("1-3,5") == [1, 2, 3, 5]
+
+
+def test_corpus_command(spark, tmp_path, capsys):
+    import hashlib
+
+    (tmp_path / "f" / "job").mkdir(parents=True)
+    for name, data in (("good.pdf", b"%PDF-1 good"), ("unread.pdf", b"%PDF-1 unread"), ("bad.pdf", b"no"), ("odd.pdf", b"%PDF-1 odd")):
+        (tmp_path / "f" / "job" / name).write_bytes(data)
+    ids = {k: hashlib.sha256(d).hexdigest()[:32] for k, d in (("good", b"%PDF-1 good"), ("odd", b"%PDF-1 odd"))}
+    words, facts = [], [(ids["odd"], 0, 612.0, 792.0, False)]
+    for number, rows in DOCS["plain"]:
+        w, p = page(ids["good"], number, rows)
+        words += w
+        facts.append(p)
+    spark.createDataFrame(words, schemas.WORDS).write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame(facts, schemas.PAGES).write.parquet(str(tmp_path / "p"))
+    at = str(tmp_path / "s")
+    stale = spark.createDataFrame([("1.0", ids["odd"], "odd.pdf", "p", 2, [a_set("s1", "1")], [], None, "odd.pdf")], schemas.RESULT)
+    Store(spark, at).save(stale)
+    call = ["corpus", "--files", str(tmp_path / "f"), "--words", str(tmp_path / "w"), "--pages", str(tmp_path / "p"), "--register", "--store", at]
+    assert main(call) == 1
+    summary = json.loads(capsys.readouterr().out)
+    assert (summary["succeeded"], summary["failed"], summary["sets"]) == (1, 3, 3)
+    store = Store(spark, at)
+    assert [(r["id"], r["project"]) for r in store.saved().collect()] == [(ids["good"], "job")] and [r["id"] for r in store.registry().collect()] == [ids["good"]]
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in spark.read.parquet(at + "/runs").collect()}
+    assert errors == {"good.pdf": None, "unread.pdf": "no pages were read", "bad.pdf": "not a readable file", "odd.pdf": "pages need a number from 1 and a size"}
+    assert [r["set_count"] for r in store.documents().collect()] == [3]
+    assert main(["corpus", "--files", str(tmp_path / "none"), "--words", "w", "--pages", "p", "--store", at]) == 1
+    (tmp_path / "gold.json").write_text('[{"source_path": "job/good.pdf", "page": 1, "set_number": "01", "components": []}, {"source_path": "other.pdf", "page": 1, "set_number": "01", "components": []}]')
+    capsys.readouterr()
+    assert main(["evaluate", "--gold", str(tmp_path / "gold.json"), "--source", "job/good.pdf", "--store", at]) == 0
+    assert {r["metric"]: r["total"] for r in json.loads(capsys.readouterr().out)}["set_recall"] == 1

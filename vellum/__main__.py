@@ -1,10 +1,11 @@
-"""Command line: extract, evaluate and export.
+"""Command line: extract, corpus, evaluate and export.
 
     python -m vellum extract --words W --pages P [--strikes S] [--grid G] [--registry R] [--vocabulary V] [--only 1-3,5] --store DIR
-    python -m vellum evaluate --gold FILE --store DIR
+    python -m vellum corpus --files DIR --words W --pages P [--strikes S] [--grid G] [--vocabulary V] [--register] --store DIR
+    python -m vellum evaluate --gold FILE [--source PATH ...] --store DIR
     python -m vellum export --store DIR --to DIR [--format csv|json]
 
-Tables are Parquet. Exit code 1 on an error, 130 when interrupted.
+Tables are Parquet; --source names the documents to evaluate. Exit code 1 on an error (corpus: of any document), 130 when interrupted.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import UTC, datetime
 
 
 def pages(text: str) -> list[int]:
@@ -35,7 +37,14 @@ def main(args: list[str] | None = None) -> int:
     for name in ("strikes", "grid", "registry", "vocabulary"):
         extract.add_argument(f"--{name}")
     extract.add_argument("--only", type=pages)
+    corpus = verbs.add_parser("corpus")
+    for name in ("files", "words", "pages", "store"):
+        corpus.add_argument(f"--{name}", required=True)
+    for name in ("strikes", "grid", "vocabulary"):
+        corpus.add_argument(f"--{name}")
+    corpus.add_argument("--register", action="store_true")
     evaluate = verbs.add_parser("evaluate")
+    evaluate.add_argument("--source", nargs="+")
     evaluate.add_argument("--gold", required=True)
     evaluate.add_argument("--store", required=True)
     export = verbs.add_parser("export")
@@ -49,6 +58,8 @@ def main(args: list[str] | None = None) -> int:
 
     from vellum.functions.vocabulary import NONE, Vocabulary
     from vellum.operators.evaluate import evaluate as measure
+    from vellum.operators import relate
+    from vellum.plans.corpus import run as corpus_run
     from vellum.plans.extract import extract as read
     from vellum.plans.extract import results
     from vellum.sources import scan, sinks
@@ -66,8 +77,27 @@ def main(args: list[str] | None = None) -> int:
             known = spark.read.parquet(given.registry) if given.registry else spark.createDataFrame([], REGISTRY).withColumnRenamed("id", "doc_id")
             store.save(results(found, known.select("doc_id", "name", "project", "source_path")))
             print(json.dumps(store.saved().selectExpr("count(*) documents", "sum(size(sets)) sets").first().asDict()))
+        elif given.verb == "corpus":
+            table = lambda p: spark.read.parquet(p) if p else None
+            files = scan.corpus_files(spark, given.files)
+            if files.isEmpty():
+                raise ValueError(f"no files in {given.files}")
+            words = Vocabulary.read(table(given.vocabulary)) if given.vocabulary else NONE
+            found, runs = corpus_run(files, table(given.words), table(given.pages), table(given.strikes), table(given.grid), words)
+            store.save(found)
+            runs.write.mode("overwrite").parquet(f"{given.store}/runs")
+            if given.register:
+                good = spark.read.parquet(f"{given.store}/runs").where("status = 'ok'").select("path")
+                store.register(files.join(good, "path", "left_semi"), datetime.now(UTC))
+            summary = sinks.run_summary(spark.read.parquet(f"{given.store}/runs")).first().asDict()
+            print(json.dumps(summary))
+            return 1 if summary["failed"] else 0
         elif given.verb == "evaluate":
-            rows, _ = measure(scan.load_gold(spark, given.gold), store.saved())
+            gold = scan.load_gold(spark, given.gold)
+            if given.source:
+                wanted = spark.createDataFrame([(p,) for p in given.source], "wanted string")
+                gold = gold.join(relate.suffix_match(gold.select("source_path").distinct(), wanted, "source_path", "wanted").select("source_path"), "source_path", "left_semi")
+            rows, _ = measure(gold, store.saved())
             print(json.dumps([r.asDict() for r in rows.collect()]))
         elif given.format == "csv":
             sinks.write_csv(store.current(), given.to)

@@ -40,16 +40,18 @@ def load_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FIELDS = ["qty", "description", "catalog_number", "mfr", "finish", "notes"]
+SET_FIELDS = ["description", "status", "notes"]
 _ROW = "struct<qty string, description string, catalog_number string, mfr string, finish string, notes string>"
 _GOLD = f"array<struct<source_path string, page int, pages array<int>, set_number string, description string, status string, notes array<string>, components array<{_ROW}>>>"
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold sets (an array, or an object with `sets`), each with its number, pages and rows. A row's `annotated` names the fields that are present, null or not. Duplicates are an error."""
+    """Gold sets (an array, or an object with `sets`), each with its number, pages and rows. A row's `annotated`, and a set's, names the fields that are present, null or not. Duplicates are an error."""
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("json"))
     whole = whole.select(F.when(F.col("json").startswith("{"), F.get_json_object("json", "$.sets")).otherwise(F.col("json")).alias("json"))
     raw = F.from_json("json", "array<struct<components array<map<string,string>>>>")
-    sets = whole.select(F.posexplode(F.arrays_zip(F.from_json("json", _GOLD).alias("gold"), raw.alias("raw"))).alias("gold_id", "s"))
+    named = F.transform(F.from_json("json", "array<map<string,string>>"), lambda m: F.array_intersect(F.map_keys(m), F.array(*map(F.lit, SET_FIELDS))))
+    sets = whole.select(F.posexplode(F.arrays_zip(F.from_json("json", _GOLD).alias("gold"), raw.alias("raw"), named.alias("named"))).alias("gold_id", "s"))
     keys = F.transform(F.col("s.raw.components"), lambda m: F.array_intersect(F.map_keys(m), F.array(*map(F.lit, FIELDS))))
     gold = sets.select(
         F.monotonically_increasing_id().alias("gold_id"),
@@ -59,6 +61,7 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
         "s.gold.description",
         "s.gold.status",
         "s.gold.notes",
+        F.col("s.named").alias("annotated"),
         F.arrays_zip(F.col("s.gold.components").alias("row"), keys.alias("annotated")).alias("components"),
     )
     identity = Window.partitionBy(T.path_norm("source_path"), "pages", F.lower("set_number"))
@@ -67,6 +70,14 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
     return gold.withColumn("set_number", checked)
 
 
+def union_gold(*parts: DataFrame) -> DataFrame:
+    """Several gold tables as one, with numbers of their own; columns that a part lacks are null."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.withColumn("gold_id", F.monotonically_increasing_id())
+
+
 def text_inventory(lines: DataFrame, before: int = 1, after: int = 2, poor: int = 60) -> DataFrame:
     """Of lines (doc_id, page, line_no, text): pages, text-poor pages, pages with a heading, and the pages around these."""
     page = lines.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"), F.bool_or(T.identify_header("text").isNotNull()).alias("heading"))

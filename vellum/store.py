@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vellum import schemas
 from vellum.operators import metrics, overlay
 from vellum.sources import sinks
+from vellum.stages import cut
 
 REGISTRY = "id string, name string, project string, sha256 string, source_path string, created_at timestamp, status string"
 
@@ -32,8 +33,7 @@ class Store:
 
     def register(self, files: DataFrame, now) -> DataFrame:
         """Adds the files (scan.corpus_files) whose content is new; those that were added."""
-        added = sinks.register(files, self.registry(), now)
-        rows = self.spark.createDataFrame(added.collect(), added.schema)  # one small row for each new file of this call
+        rows = cut(sinks.register(files, self.registry(), now))  # read again once the registry holds them
         rows.write.mode("append").parquet(f"{self.folder}/registry")
         return rows
 
@@ -43,7 +43,7 @@ class Store:
         sinks.write_results(results.withColumn("sets", plain), f"{self.folder}/results")
 
     def saved(self) -> DataFrame:
-        return self._table("results", schemas.RESULT + ", doc string").drop("doc")
+        return self._table("results", schemas.RESULT + ", doc string").drop("doc").where("sets IS NOT NULL")  # without sets: an error
 
     def corrections(self) -> DataFrame:
         return self._table("corrections", schemas.CORRECTIONS)
