@@ -105,6 +105,8 @@ def test_codes_resolve_by_legend_only(found):
     a, b = found[1]["legend"][0]["components"]
     assert a["catalog_resolution"]["description"] == "Door closer" and a["catalog_resolution"]["finish"] == "AL" and any("C1" in w for w in a["warnings"])
     assert b["catalog_resolution"] is None
+    at = a["catalog_resolution"]["location"]
+    assert (at["page"], at["page_width"], at["line_start"]) == (1, 612.0, at["line_end"]) and at["bbox"][3] - at["bbox"][1] == 9.0
 
 
 def test_alias(found):

@@ -146,7 +146,8 @@ SQL: dict[str, str] = {
     "stratified_pages": f"""
         WITH {WORDS}, p AS (SELECT DISTINCT doc_id, page FROM words),
         n AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
-        SELECT doc_id, CAST(max(n) AS INTEGER) AS n_pages, string_agg(CAST(page AS VARCHAR), ';' ORDER BY page) FILTER (WHERE i = 1 OR i = n OR i = n // 2 + 1) AS chosen FROM n GROUP BY doc_id""",
+        SELECT doc_id, CAST(max(n) AS INTEGER) AS n_pages, string_agg(CAST(page AS VARCHAR), ';' ORDER BY page) FILTER (WHERE i = 1 OR i = n OR page BETWEEN middle - 1 AND middle + 1) AS chosen
+        FROM n JOIN (SELECT doc_id, page AS middle FROM n WHERE i = n // 2 + 1) USING (doc_id) GROUP BY doc_id""",
     "region_truncation": rf"""
         WITH {LINES}, s AS (SELECT *, max(CASE WHEN regexp_matches(line, ' [a-z]{{1,2}}\.$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM lines)
         SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line FROM s WHERE stopped = 0 GROUP BY doc_id""",

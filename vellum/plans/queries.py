@@ -342,7 +342,7 @@ def struck_lines(spark, sf_dir):
 
 @query
 def heading_lines(spark, sf_dir):
-    """Identified headings: every line's first word put after the word Set, with the line as its tail."""
+    """Identified headings: each line's number put after the word SET, with the whole line as its tail in two of three."""
     made = F.concat(F.lit("SET "), F.col("line_no"), F.when(F.col("line_no") % 3 == 0, " - ").when(F.col("line_no") % 3 == 1, " of ").otherwise(""), F.when(F.col("line_no") % 3 == 2, "").otherwise(F.col("line")))
     found = lines(spark, sf_dir).select("doc_id", "line_no", T.identify_header(made).alias("h")).where("h IS NOT NULL")
     return found.select("doc_id", "line_no", F.col("h.set_number").alias("set_number"), F.col("h.description").alias("description"))
@@ -373,7 +373,7 @@ def product_split(spark, sf_dir):
 
 @query
 def cell_join(spark, sf_dir):
-    """Wrapped cells: a document's first three lines joined, the first ending with a hyphen in every second document."""
+    """Wrapped cells: a part's name, type and brand joined, the name ending with a hyphen in every second part and no type in every fifth."""
     cells = F.array(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "-").otherwise("")), F.when(F.col("p_size") % 5 == 0, None).otherwise(F.col("p_type")), F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", T.join_cells(cells).alias("joined"))
 

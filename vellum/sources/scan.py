@@ -90,6 +90,20 @@ def text_inventory(lines: DataFrame, before: int = 1, after: int = 2, poor: int
     return doc.withColumn("candidate_pages", F.array_sort(F.array_distinct(around)))
 
 
+#: Fixed values, in points: a stroke rises less than FLAT and is longer than LONG; a filled box is at most THIN high and wider than WIDE.
+FLAT, LONG, THIN, WIDE = 0.6, 12, 1.2, 4
+
+
+def strikes(drawings: DataFrame) -> DataFrame:
+    """drawings (doc_id, page, kind: line or rect, x0, y0, x1, y1) as strokes that may strike text out (schemas.STRIKES).
+
+    A line's ends may come in either order and its first end gives the height; of a box it is the middle."""
+    width, height = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    line, rect = (F.col("kind") == "line") & (height < FLAT) & (width > LONG), (F.col("kind") == "rect") & (height <= THIN) & (width > WIDE)
+    y = F.when(F.col("kind") == "line", F.col("y0")).otherwise((F.col("y0") + F.col("y1")) / 2)
+    return drawings.where(line | rect).select("doc_id", "page", F.least("x0", "x1").alias("x0"), F.greatest("x0", "x1").alias("x1"), y.alias("y"))
+
+
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no (from 1), line: the lines of plain text. Null text has none."""
     return docs.select(F.col(id_col), F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).select(id_col, (F.col("n") + 1).cast("long").alias("line_no"), "line")
