@@ -1,11 +1,11 @@
-"""The registered queries of this subpackage: op1 to op10."""
+"""The registered queries of this subpackage: op1 to op13."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, packing, sharding, toxicity, training_order, warc
+from vellum.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, packing, pii, sharding, toxicity, training_order, warc
 from vellum.llm.common import new_folder
 
 
@@ -72,8 +72,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document: counts and digest of what stands there plainly, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("pii", lambda s: s["plain"])
+    kinds = F.transform(plain, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(plain), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
