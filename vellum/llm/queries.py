@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, packing, pii, sharding, toxicity, training_order, warc
+from vellum.llm import decontaminate, exact_dedup, html_text, licenses, merkle, ngram_join, packing, pii, sharding, toxicity, training_order, warc
 from vellum.llm.common import new_folder
 
 
@@ -72,6 +74,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, with some texts lower-cased after the manifest was made."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    now = merkle.leaf(lower if c == "text" else F.col(c) for c in merkle.COLUMNS)
+    return merkle.manifest(docs, F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, now))
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document: counts and digest of what stands there plainly, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,7 +92,59 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing, op13_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing, op12_merkle_manifest, op13_pii)}
+
+
+def _leaf(text: str) -> str:
+    """A document's leaf in SQL."""
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+MERKLE = f"""
+    WITH RECURSIVE
+    leaves AS (
+        SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("text")} AS leaf,
+               {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower_leaf,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx
+        FROM documents),
+    tree AS (
+        SELECT lang, 0 AS level, idx, leaf AS digest FROM leaves
+        UNION ALL
+        SELECT lang, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM tree) WHERE n > 1 GROUP BY lang, level, idx // 8),
+    subroots AS (
+        SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx
+        FROM (SELECT *, max(level) OVER (PARTITION BY lang) AS top FROM tree) WHERE level = top),
+    upper AS (
+        SELECT 0 AS level, idx, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, idx // 8),
+    root AS (SELECT digest AS root FROM upper ORDER BY level DESC LIMIT 1),
+    steps AS (
+        SELECT l.r, t.level AS step, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < l.idx // CAST(8 ** t.level AS BIGINT)) AS before,
+               string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > l.idx // CAST(8 ** t.level AS BIGINT)) AS behind
+        FROM leaves l JOIN tree t ON l.lang IS NOT DISTINCT FROM t.lang AND t.idx // 8 = l.idx // CAST(8 ** (t.level + 1) AS BIGINT)
+        WHERE EXISTS (SELECT 1 FROM tree u WHERE u.lang IS NOT DISTINCT FROM t.lang AND u.level > t.level) GROUP BY l.r, t.level
+        UNION ALL
+        SELECT l.r, 100 + t.level, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < s.idx // CAST(8 ** t.level AS BIGINT)),
+               string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > s.idx // CAST(8 ** t.level AS BIGINT))
+        FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN upper t ON t.idx // 8 = s.idx // CAST(8 ** (t.level + 1) AS BIGINT)
+        WHERE EXISTS (SELECT 1 FROM upper u WHERE u.level > t.level) GROUP BY l.r, t.level),
+    ways AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, coalesce(before, '') AS before, coalesce(behind, '') AS behind FROM steps),
+    proofs AS (SELECT r, sha256(string_agg(before || behind, '' ORDER BY k)) AS proof FROM ways GROUP BY r),
+    folds AS (
+        SELECT r, 0 AS k, CASE WHEN crc % 3 = 0 THEN lower_leaf ELSE leaf END AS digest FROM (
+            SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+            FROM leaves)
+        UNION ALL
+        SELECT w.r, w.k, sha256(w.before || f.digest || w.behind) FROM folds f JOIN ways w ON w.r = f.r AND w.k = f.k + 1)
+    SELECT doc_id, leaf, s.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root LEFT JOIN proofs p ON p.r = l.r
+    JOIN (SELECT r, arg_max(digest, k) AS digest FROM folds GROUP BY r) f ON f.r = l.r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -102,4 +164,5 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
             FROM p
         """,
+        "op12_merkle_manifest": MERKLE,
     }
