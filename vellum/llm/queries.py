@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, exact_dedup, html_text, licenses, merkle, ngram_join, packing, pii, sharding, toxicity, training_order, warc
+from vellum.llm import decontaminate, exact_dedup, html_text, licenses, merkle, ngram_join, packing, pii, ranked_search, sharding, toxicity, training_order, warc
 from vellum.llm.common import new_folder
 
 
@@ -74,6 +74,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every benchmark item the ten documents of the highest scores."""
+    index = ranked_search.build(table(spark, sf_dir, "documents"), new_folder(spark, "index"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and root, with some texts lower-cased after the manifest was made."""
     docs = table(spark, sf_dir, "documents")
@@ -92,7 +98,32 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing, op12_merkle_manifest, op13_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_html_extraction, op4_exact_dedup, op5_toxicity, op6_warc, op7_ngram_jaccard_join, op8_license_scan, op9_training_order, op10_packing, op11_ranked_search, op12_merkle_manifest, op13_pii)}
+
+
+def _terms(column: str) -> str:
+    """A text's terms in SQL."""
+    lower = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+
+RANKED = f"""
+    WITH
+    rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    counts AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, {_terms("text")} AS term FROM rows) GROUP BY r, doc_id, term),
+    lengths AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY r),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts CROSS JOIN total GROUP BY term),
+    impacts AS (
+        SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS gain
+        FROM counts JOIN lengths USING (r) JOIN weights USING (term) CROSS JOIN total),
+    items AS (SELECT i, item_id, {_terms("text")} AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+    scores AS (SELECT i, item_id, r, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY i, item_id, r, doc_id)
+    SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 WINDOW best AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) QUALIFY row_number() OVER best <= 10
+"""
 
 
 def _leaf(text: str) -> str:
@@ -164,5 +195,6 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
             FROM p
         """,
+        "op11_ranked_search": RANKED,
         "op12_merkle_manifest": MERKLE,
     }
