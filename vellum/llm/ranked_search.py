@@ -37,6 +37,8 @@ from pyspark.sql.types import StructType
 
 #: A block holds so many pairs of document and term, about, and so many documents at most.
 BLOCK_POSTINGS, BLOCK_DOCS = 500_000, 65_536
+#: Texts that are counted at once.
+ROWS = 500
 #: Impacts in one byte: 255 steps reach the greatest impact.
 GREATEST, STEP = 1_000_000, 3_922
 #: Bytes of item texts that are searched for at once.
@@ -62,15 +64,14 @@ def lengths_of(texts: pa.Array) -> np.ndarray:
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, ends, data = texts.buffers()
     bounds = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts) or bounds[-1] == bounds[0]:
-        return np.zeros(len(texts), np.int64)
-    inside = _TERM[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = (bounds[:-1] - bounds[0])[np.diff(bounds) > 0]
-    begins[first] = inside[first]
-    counted = np.concatenate([[0], np.cumsum(begins)])
-    return counted[bounds[1:] - bounds[0]] - counted[bounds[:-1] - bounds[0]]
+    counts, full = np.zeros(len(texts), np.int64), np.diff(bounds) > 0
+    if full.any():
+        inside = _TERM[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]]
+        begins, first = inside.copy(), bounds[:-1][full] - bounds[0]
+        begins[1:] &= ~inside[:-1]
+        begins[first] = inside[first]
+        counts[full] = np.add.reduceat(begins, first, dtype=np.int64)
+    return counts
 
 
 def smooth(n: np.ndarray, docs: int, terms: int) -> np.ndarray:
@@ -101,8 +102,9 @@ def build(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_terms = total = 0
         for batch in batches:
-            n = lengths_of(batch.column(0))
-            with_terms, total = with_terms + int((n > 0).sum()), total + int(n.sum())
+            for k in range(0, batch.num_rows, ROWS):
+                n = lengths_of(batch.column(0)[k : k + ROWS])
+                with_terms, total = with_terms + int((n > 0).sum()), total + int(n.sum())
         yield pa.RecordBatch.from_pydict({"n_docs": [with_terms], "n_terms": [total]})
 
     sums = narrow.select("text").mapInArrow(count, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
