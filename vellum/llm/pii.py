@@ -33,6 +33,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ SPANS = "array<struct<kind string, start long, end long, plain boolean>>"
 Span = tuple[int, int]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -107,7 +108,7 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 AT_WORDS = ("at", "arobase", "arroba", "klammeraffe", "@")
-DOT_WORDS = ("dot", "punkt", "punto", "point", "period", r"\.")
+DOT_WORDS = ("dot", "punkt", "punto", "point", "period", ".")
 TIMES = {"double": 2, "triple": 3}
 # Last labels of hosts that a bare "at" or "dot" is believed for.
 HOSTS = frozenset("com org net edu gov mil int info biz io ai co app dev me tv eu uk us ca au de at ch fr be nl lu es pt it se no dk fi pl cz ie mx ar cl br in jp cn ru example test invalid local".split())
@@ -128,8 +129,10 @@ def _lookalikes() -> dict[int, str]:
 
 
 _SWAPS = _lookalikes()
-_SWAP = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_SWAPS)) + "]")
-_HIDDEN = re.compile(f"[{INVISIBLE}]+")
+_SWAPS |= dict.fromkeys(map(ord, INVISIBLE), "")
+_SWAPPED = np.zeros(max(_SWAPS) + 2, bool)
+_SWAPPED[list(_SWAPS)] = True
+_MAYBE_LETTER_DIGITS = re.compile(r"[0-9]\.?[OoIl]|[OoIl][0-9]")
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?:[OoIl]++[0-9]|[0-9]++[OoIl])[0-9OoIl]*+(?![A-Za-z0-9])|(?<=[0-9]\.)[OoIl]{1,3}+(?![A-Za-z0-9])")
 _AS_DIGITS = str.maketrans("OoIl", "0011")
 _SPELLED = re.compile(r"\b(?:(double|triple)\s+)?(" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")\b", re.I)
@@ -140,18 +143,29 @@ _NUMBER_LEFT, _NUMBER_RIGHT = re.compile(r"[0-9+][\s,()-]{0,3}\Z"), re.compile(r
 _PLUS = re.compile(r"\bplus\s+(?=[0-9])", re.I)
 
 
-def _bracketed(words: tuple[str, ...], code: str, hexa: str, entity: str) -> str:
-    inner = "|".join(words)
-    return rf"[ \t]*(?:\[\s*(?:{inner})\s*\]|\(\s*(?:{inner})\s*\)|\{{\s*(?:{inner})\s*\}}|<\s*(?:{inner})\s*>|&#0*{code};|&#x0*{hexa};|&{entity};)[ \t]*"
+def _any_case(words: tuple[str, ...]) -> str:
+    """The words as a pattern: without a flag for case, so that a search jumps to the first character."""
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else re.escape(c) for c in w) for w in words)
 
 
-_AT, _DOT = _bracketed(AT_WORDS, "64", "40", "commat"), _bracketed(DOT_WORDS, "46", "2e", "period")
-_SIGN = re.compile(f"(?<=[A-Za-z0-9])(?:(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<bare>[ \t]+dot[ \t]+))(?=[A-Za-z0-9])", re.I)
-#: A bare "at" before a host whose dot is spelled, or after what looks like a mailbox.
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]{{1,63}}(?P<spelled>[ \t]+dot[ \t]+|{_DOT})?(?(spelled)[A-Za-z0-9]|\.[A-Za-z0-9]))", re.I)
+def _sign(words: tuple[str, ...], *codes: str) -> str:
+    """Words in brackets of any kind, or a character reference."""
+    inner = _any_case(words)
+    return rf"\[\s*+(?:{inner})\s*+\]|\(\s*+(?:{inner})\s*+\)|\{{\s*+(?:{inner})\s*+\}}|<\s*+(?:{inner})\s*+>|{'|'.join(codes)}"
+
+
+_AT, _DOT = _sign(AT_WORDS, "&#0*64;", "&#[xX]0*40;", "&commat;"), _sign(DOT_WORDS, "&#0*46;", "&#[xX]0*2[eE];", "&period;")
+_SIGN = re.compile(f"(?=[\\[({{<&])(?:(?P<at>{_AT})|{_DOT})")
+#: A bare "at" before a host whose dot is spelled, or after what looks like a mailbox; a bare "dot".
+_BARE_AT = re.compile(rf"[ \t](?<=[A-Za-z0-9_+-][ \t])[ \t]*+[aA][tT][ \t]++(?=[A-Za-z0-9-]{{1,63}}(?P<spelled>[ \t]+[dD][oO][tT][ \t]+|[ \t]*(?:{_DOT})[ \t]*)?(?(spelled)[A-Za-z0-9]|\.[A-Za-z0-9]))")
+_BARE_DOT = re.compile(r"[ \t](?<=[A-Za-z0-9][ \t])[ \t]*+[dD][oO][tT][ \t]++(?=[A-Za-z0-9])")
 _MAILBOX = re.compile(r"(?:(?=[A-Za-z0-9._%+-]*[0-9._])[A-Za-z0-9._%+-]*[A-Za-z][A-Za-z0-9._%+-]*)\Z")
-#: What any edit needs: texts without it are done after the plain finders.
-_SPELLED_AT = re.compile(r"[ \t]at[ \t]|[\[({<]\s*(?:at|@)\s*[\])}>]|&#|&commat|&period|[\[({<]\s*\.|\bdot\b|(?:punkt|punto|point|period)\s*[\])}>]|(?:arobase|arroba|klammeraffe)\s*[\])}>]", re.I)
+#: Words that a transducer looks for, in UTF-8; a text's bytes in small letters, all else ASCII made white space.
+_DIGIT_WORDS, _PLAIN_WORDS = frozenset(w.encode() for w in DIGITS), bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+
+
+def _words(text: str) -> frozenset[bytes]:
+    return frozenset(text.encode("utf-8", "surrogatepass").translate(_PLAIN_WORDS).split())
 
 
 class Mapped:
@@ -198,16 +212,24 @@ class Mapped:
 
 
 def _characters(text: str) -> list[tuple[int, int, str]]:
-    """Edits of the first transducer."""
+    """Edits of characters that look like others, or like nothing."""
     if text.isascii():
         return []
-    edits = [(m.start(), m.end(), _SWAPS[ord(m.group())]) for m in _SWAP.finditer(text)]
-    return edits + [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(points > 127)
+    at = at[_SWAPPED[np.minimum(points[at], len(_SWAPPED) - 1)]].tolist()
+    return [(k, k + 1, _SWAPS[ord(text[k])]) for k in at]
+
+
+def _letter_digits(text: str) -> list[tuple[int, int, str]]:
+    if not _MAYBE_LETTER_DIGITS.search(text):
+        return []
+    return [(m.start(), m.end(), m.group().translate(_AS_DIGITS)) for m in _LETTER_DIGITS.finditer(text)]
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
-    """Edits of letters that stand for digits, and of spelled digits beside other digits."""
-    edits = [(m.start(), m.end(), m.group().translate(_AS_DIGITS)) for m in _LETTER_DIGITS.finditer(text)]
+    """Edits of spelled digits beside other digits."""
+    edits = []
     found = list(_SPELLED.finditer(text))
     gaps = [text[a.end() : b.start()] if b.start() - a.end() < 12 else "" for a, b in zip(found, found[1:], strict=False)]
     beside = [bool(_BESIDE.match(g)) for g in gaps]
@@ -224,14 +246,21 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _signs(text: str) -> tuple[list[tuple[int, int, str]], list[int]]:
-    """Edits of "at" and "dot", and where those of bare words begin."""
+def _signs(text: str, words: frozenset[bytes]) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """Edits of "at" and "dot" with the spaces around them, and where those of bare words begin."""
     edits, bare = [], []
     for m in _SIGN.finditer(text):
-        edits.append((m.start(), m.end(), "@" if m.group("at") else "."))
-        if m.group("bare"):
-            bare.append(m.start())
-    for m in _BARE_AT.finditer(text):
+        a, b = m.span()
+        while a and text[a - 1] in " \t":
+            a -= 1
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        if a and b < len(text) and text[a - 1].isalnum() and text[b].isalnum():
+            edits.append((a, b, "." if m.group("at") is None else "@"))
+    if b"dot" in words:
+        bare = [m.start() for m in _BARE_DOT.finditer(text)]
+        edits += [(m.start(), m.end(), ".") for m in _BARE_DOT.finditer(text)]
+    for m in _BARE_AT.finditer(text) if b"at" in words else ():
         if m.group("spelled") or _MAILBOX.search(text[max(0, m.start() - 64) : m.start()]):
             edits.append((m.start(), m.end(), "@"))
             bare.append(m.start())
@@ -241,14 +270,13 @@ def _signs(text: str) -> tuple[list[tuple[int, int, str]], list[int]]:
 def deobfuscate(text: str) -> tuple[Mapped, list[Span]]:
     """The text through all transducers, and the source places of edits that rest on bare words."""
     now = Mapped(text).edited(_characters(text))
-    spelled = _numbers(now.text)
-    if spelled:
-        now = now.edited(spelled)
-    plus = [(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)] if "lus" in now.text.lower() else []
-    now = now.edited(plus)
-    if not _SPELLED_AT.search(now.text):
-        return now, []
-    edits, bare = _signs(now.text)
+    now = now.edited(_letter_digits(now.text))
+    words = _words(now.text)
+    if not words.isdisjoint(_DIGIT_WORDS):
+        now = now.edited(_numbers(now.text))
+    if b"plus" in words:
+        now = now.edited([(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)])
+    edits, bare = _signs(now.text, words)
     places = [now.back(b, b + 1) for b in bare]
     return now.edited(edits), places
 
