@@ -89,6 +89,18 @@ def test_open_elements_end_with_their_parent():
     assert texts("a<svg><text>t</text></svg>b <script>x</script><select><option>t</select>c") == ["ab c"]
 
 
+def test_stray_quotes_lose_nothing_and_leak_nothing():
+    for q in "'\"":
+        page = f"<p>See <a href=/o{q}brien>the page</a> that doesn{q}t end.</p><p>Two.</p><p>It{q}s three.</p>"
+        assert texts(page) == [f"See the page that doesn{q}t end.", "Two.", f"It{q}s three."]
+        assert texts(f"<p>A <img alt={q}5{q} tall{q}> b</p><p>C.</p>") == ["A  b", "C."] or texts(f"<p>A <img alt={q}5{q} tall{q}> b</p><p>C.</p>") == ["A b", "C."]
+        assert texts(f"<p title={q}open>One.</p><p>Two.</p>") == ["One.", "Two."]
+        assert texts(f"<p {q}>One.</p><p a{q}b=c {q}d{q}>Two.</p>") == ["One.", "Two."]
+    assert texts("""<p title="a > b" data-x='c > d'>One.</p><a href=/x?q="b>Two</a>""") == ["One.", "Two"]
+    assert texts("<p title = 'x>y' =z>One.</p><p a=b=c==>Two.</p>") == ["One.", "Two."]
+    assert H._element("div", """ alt="x class='nav'" class=footer""", 0)[0] == H._element("div", " class='footer'", 0)[0]
+
+
 def test_very_long_pages_repeated_rows_and_a_column_named_text(spark):
     page = "<body><article>" + "<p>A sentence of an article that goes on.</p>" * 30_000 + "</article></body>"
     docs = spark.createDataFrame([(1, page, "old", 0), (1, page, "old", 0), (2, None, "old", 0)], "page_id long, html string, text string, run int")

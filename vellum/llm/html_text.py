@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import text_chunks
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A quote opens a value only right after `=`; anywhere else, or if it is never closed, it is a character like others, and `>` ends the tag.
+_VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|{_VALUE}|=)*+)>|<[!?][^>]*>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)))?""")
+#: Attributes that tell something of an element.
+_TELLING = frozenset("class id role data-label hidden".split())
 _LETTERS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,11 +233,13 @@ def _element(tag: str, attributes: str, inherited: int) -> tuple[list[int], int]
         hits, label = {_AT["bias"], _AT["element"], _AT.get(f"<{tag}>", _AT["other tag"])}, None
         for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name not in _TELLING:
+                continue
             if name == "data-label":
                 label = int(value == "content")
             elif name == "hidden":
                 hits.add(_AT["hidden"])
-            elif name != "aria-label":
+            else:
                 groups = {_GROUP[w] for w in _LETTERS.findall(value) if w in _GROUP}
                 hits |= {_AT[f"#{g}"] for g in groups} | ({_AT["named"]} if groups else set())
         if len(_seen) > 100_000:
