@@ -74,3 +74,16 @@ def test_labels_that_repeat_an_id_and_brute_force(spark):
         for c, z in zip(one.categories, logits, strict=True):
             assert abs(got[i][f"p_{c}"] - 1 / (1 + np.exp(-z))) < 1e-5
         assert got[i]["toxic"] == (1 / (1 + np.exp(-logits[-1])) >= one.threshold) or abs(1 / (1 + np.exp(-logits[-1])) - one.threshold) < 1e-5
+
+
+def test_repeated_documents_do_not_widen_the_sample(spark, monkeypatch):
+    docs, labels = corpus(300, 3)
+    seen = []
+    plain = T.fit_chain
+    monkeypatch.setattr(T, "fit_chain", lambda x, y: seen.append(len(x)) or plain(x, y))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = (spark.createDataFrame(rows, "doc_id long, text string, x string") for rows in (docs, docs + docs[:40] * 50 + [(docs[0][0], None, "")]))
+    models = [T.fit(d, T.categories_of(table), T.CATEGORIES, "toxic", sample=100) for d in (once, often)]
+    assert seen[0] == seen[1] <= 100
+    assert models[0].columns == models[1].columns and models[0].threshold == models[1].threshold
+    assert T.score(often.limit(9), models[0], into="x").columns == ["doc_id", "text", "x"]

@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], target: str,
     """docs: doc_id, text. labels: doc_id and a 0/1 column for each category, in the chain's order."""
     spark = docs.sparkSession
     some = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows are broadcast
+    # At most `sample` rows are broadcast, and as many are left: of documents that repeat an id the least text.
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
 
     @F.pandas_udf("array<long>")
     def found(texts: pd.Series) -> pd.Series:
