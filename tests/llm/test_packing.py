@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from vellum.llm import packing as P
 from vellum.llm.tokens import default_path, encoder
@@ -87,3 +88,13 @@ def test_long_runs_of_white_space():
     for text in (" " * 1_000_000, "a" + "\n" * 400_000 + "b", "\t " * 200_000 + "x"):
         ids = whole.encode(text, add_special_tokens=False).ids
         assert encoder().encode(text).tolist() == ids and encoder().count(text) == len(ids)
+
+
+def test_short_texts_fill_sequences_and_limits_below_one_are_errors(spark):
+    pieces = P.cut(spark.createDataFrame([(k, "") for k in range(3000)], "doc_id long, text string"))
+    assert P.pack(pieces).select("sequence_id").distinct().count() == 2
+    assert P.pack(pieces, segments=100).select("sequence_id").distinct().count() == 30
+    turns = spark.createDataFrame([(1, 0, "assistant", "hello there")], "conv_id long, turn int, role string, text string")
+    for call in (lambda: P.cut_conversations(turns, loss=0), lambda: P.cut_conversations(turns, tokens=0), lambda: P.pack(pieces, loss=0)):
+        with pytest.raises(ValueError, match="at least 1"):
+            call()

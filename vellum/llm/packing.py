@@ -30,7 +30,9 @@ from vellum.llm.tokens import encoder
 
 #: Pieces that one task packs, about.
 GROUP = 20_000
-TOKENS, SEGMENTS = 2048, 128
+TOKENS = 2048
+#: Segments in a sequence, at most. As many as tokens, so that short documents leave no padding; for instruction data, whose attention masks have a fixed width, give pack() less.
+SEGMENTS = TOKENS
 
 PIECES = "doc_id long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
@@ -59,6 +61,8 @@ def cut_conversations(turns: DataFrame, tokens: int = TOKENS, loss: int | None =
     Only the ids of turns whose role is `learned` bear loss. A piece ends before it would exceed `tokens` ids or `loss` of these.
     A conversation's turns are sorted by the shuffle and streamed, so that none is gathered as a whole."""
     most = tokens if loss is None else min(loss, tokens)
+    if most < 1:
+        raise ValueError("the limits on tokens and on loss-bearing tokens must be at least 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, names = encoder(tokenizer).encode, ["doc_id", "start", "length", "loss", "ids_crc32", "doc_tokens"]
@@ -119,6 +123,8 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def pack(pieces: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, group: int = GROUP) -> DataFrame:
     """pieces (doc_id, start, length, loss, ...) with sequence_id and offset. loss: the limit on loss-bearing tokens, `tokens` if null."""
     limits = np.array([tokens, segments, tokens if loss is None else loss], np.int64)
+    if limits.min() < 1:
+        raise ValueError("limits must be at least 1")
     pieces = checkpoint(pieces.withColumn("__pack_row", F.monotonically_increasing_id()))
     n = pieces.count()
     groups = max(1, math.ceil(n / group))
