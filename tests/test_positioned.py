@@ -1,0 +1,90 @@
+"""Positioned text: round trip, pruning, bad files, the table function, writing."""
+
+import hashlib
+
+import pytest
+
+from vellum.sources import positioned as P
+
+GOOD = "positioned-text 1 2\nP\t1\t612\t792\t0\nW\t1\t2\t3\t4\t0\ta\\tb\\\\n\nS\t0\t9\t3.5\nC\t0\t1\t2\t1\t1\t2\t2\tcell\nP\t3\t612\t792\t1\nW\t1\t2\t3\t4\t1\tz"
+BAD = {
+    "empty": "", "other": "%PDF-1.7", "encrypted": "positioned-text 1 3 encrypted", "short": GOOD.replace("1 2\n", "1 3\n"), "order": GOOD.replace("P\t3", "P\t1"),
+    "size": GOOD.replace("612", "0"), "line": GOOD + "\nX\t1", "number": GOOD.replace("W\t1", "W\tnan"), "cut": GOOD + "\nW\t1\t2", "early": "positioned-text 1 0\nW\t1\t2\t3\t4\t0\ta",
+}
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "f" / "job").mkdir(parents=True)
+    (tmp_path / "f" / "a.ptx").write_text(GOOD)
+    (tmp_path / "f" / "job" / "b.ptx").write_text(GOOD.replace("z", "y"))
+    (tmp_path / "f" / "notes.txt").write_text("no document")
+    return tmp_path / "f"
+
+
+def test_tables_of_a_folder(spark, folder):
+    ids = {n: hashlib.sha256((folder / n).read_bytes()).hexdigest()[:32] for n in ("a.ptx", "job/b.ptx")}
+    words = sorted(map(tuple, P.load(spark, str(folder), "words").collect()))
+    assert words[:2] == [("a.ptx", ids["a.ptx"], 1, 0, 1.0, 2.0, 3.0, 4.0, "a\tb\\n", False), ("a.ptx", ids["a.ptx"], 3, 0, 1.0, 2.0, 3.0, 4.0, "z", True)]
+    assert [w[-2] for w in words[2:]] == ["a\tb\\n", "y"]
+    assert sorted(map(tuple, P.load(spark, str(folder), "pages").where("path = 'a.ptx'").collect())) == [("a.ptx", ids["a.ptx"], 1, 612.0, 792.0, False), ("a.ptx", ids["a.ptx"], 3, 612.0, 792.0, True)]
+    assert P.load(spark, str(folder), "strikes").select("x0", "x1", "y").first() == (0.0, 9.0, 3.5)
+    assert P.load(spark, str(folder), "cells").select("table_no", "row_no", "col_no", "text").first() == (0, 1, 2, "cell")
+    assert [r["page_count"] for r in P.load(spark, str(folder), "files").collect()] == [2, 2]
+    with pytest.raises(Exception, match="no table"):
+        P.load(spark, str(folder), "none").collect()
+
+
+def test_pruned_reads_open_only_the_wanted_files(spark, folder):
+    (folder / "bad.ptx").write_text("no")
+    read = lambda: P.load(spark, str(folder), "words")
+    with pytest.raises(Exception, match="bad.ptx: not a positioned-text file"):
+        read().collect()
+    assert read().where("path = 'a.ptx'").count() == 2
+    assert read().where("path LIKE 'job/%' AND page > 1").select("text").collect() == [("y",)]
+    assert read().where("path IN ('a.ptx', 'job/b.ptx') AND page = 3 AND text = 'y'").count() == 1
+    assert P.load(spark, str(folder), "words", errors="skip").count() == 4
+    assert {r["path"]: r["error"] for r in P.load(spark, str(folder), "files").collect()} == {"a.ptx": None, "job/b.ptx": None, "bad.ptx": "not a positioned-text file"}
+    reader = P.Reader({"path": str(folder)}, None)
+    left = list(reader.pushFilters([P.EqualTo(("path",), "a.ptx"), P.GreaterThan(("page",), 1), P.EqualTo(("text",), "z")]))
+    assert [p.paths for p in reader.partitions()] == [["a.ptx"]] and len(left) == 1
+    seen = [r[2] for r in reader.read(reader.partitions()[0])]
+    assert seen == [3]
+
+
+def test_files_are_dealt_by_size(folder):
+    assert [p.paths for p in P.Reader({"path": str(folder), "taskBytes": "1"}, None).partitions()] == [["a.ptx"], ["job/b.ptx"]]
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_bad_files(name):
+    with pytest.raises(P.BadFile):
+        list(P.read(BAD[name].encode()))
+    assert P.facts(BAD[name].encode())[-1]
+    with pytest.raises(P.BadFile):
+        list(P.read(b"\xff\xfe"))
+
+
+def test_table_function_gives_an_error_row_for_each_bad_file(spark):
+    files = spark.createDataFrame([("good", GOOD.encode()), *((k, v.encode()) for k, v in BAD.items()), ("null", None)], "path string, content binary")
+    found = P.tables_of(files, table="words").collect()
+    assert sorted(r["text"] for r in found if r["error"] is None) == ["a\tb\\n", "z"]
+    assert sorted(r["path"] for r in found if r["error"]) == sorted([*BAD, "null"])
+    assert P.tables_of(files, table="files").where("error IS NULL").select("path", "page_count").collect() == [("good", 2)]
+    P.register(spark)
+    with pytest.raises(Exception, match="second argument names a table"):
+        spark.sql("SELECT * FROM read_positioned(CAST('x' AS BINARY), 'none')").collect()
+
+
+def test_round_trip_through_the_writer(spark, tmp_path):
+    words = spark.createDataFrame([("d1", 1, k, float(k), 0.0, 1.0, 2.0, t, k == 1) for k, t in enumerate(["a\\b", "tab\there", "line\nend", "", "é"])], "doc_id string, page int, word_seq int, x0 double, y0 double, x1 double, y1 double, text string, rotated boolean")
+    pages = spark.createDataFrame([("d1", 1, 10.0, 20.0, True), ("d1", 2, 10.0, 20.0, None), ("d2", 4, 1.0, 1.0, False)], "doc_id string, page int, width double, height double, ocr boolean")
+    P.register(spark)
+    for mode in ("append", "overwrite"):
+        P.contents(words, pages).withColumnRenamed("doc_id", "path").write.format("positioned").mode(mode).save(str(tmp_path / "out"))
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d1.ptx", "d2.ptx"]
+    back = P.load(spark, str(tmp_path / "out"), "words")
+    assert sorted(map(tuple, back.select("page", "word_seq", "x0", "text", "rotated").collect())) == sorted((1, k, float(k), t, k == 1) for k, t in enumerate(["a\\b", "tab\there", "line\nend", "", "é"]))
+    assert P.load(spark, str(tmp_path / "out"), "pages").count() == 3
+    with pytest.raises(Exception, match="path and content"):
+        pages.write.format("positioned").mode("append").save(str(tmp_path / "no"))
