@@ -88,3 +88,32 @@ def test_round_trip_through_the_writer(spark, tmp_path):
     assert P.load(spark, str(tmp_path / "out"), "pages").count() == 3
     with pytest.raises(Exception, match="path and content"):
         pages.write.format("positioned").mode("append").save(str(tmp_path / "no"))
+
+
+def test_corpus_command_over_a_folder(spark, tmp_path, capsys):
+    import json
+
+    from tests.test_extract import DOCS, page
+    from vellum import schemas
+    from vellum.__main__ import main
+    from vellum.store import Store
+
+    words, facts = [], []
+    for number, rows in DOCS["plain"]:
+        w, p = page("job/good", number, rows)
+        words += w
+        facts.append(p)
+    P.register(spark)
+    made = P.contents(spark.createDataFrame(words, schemas.WORDS), spark.createDataFrame(facts, schemas.PAGES)).withColumnRenamed("doc_id", "path")
+    made.write.format("positioned").mode("append").save(str(tmp_path / "f"))
+    (tmp_path / "f" / "job" / "copy.ptx").write_bytes((tmp_path / "f" / "job" / "good.ptx").read_bytes())
+    (tmp_path / "f" / "job" / "locked.ptx").write_text(BAD["encrypted"])
+    (tmp_path / "f" / "job" / "short.ptx").write_text(BAD["short"])
+    at = str(tmp_path / "s")
+    assert main(["corpus", "--positioned", str(tmp_path / "f"), "--register", "--store", at]) == 1
+    summary = json.loads(capsys.readouterr().out)
+    assert (summary["succeeded"], summary["failed"], summary["sets"]) == (1, 2, 3)
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in spark.read.parquet(at + "/runs").collect()}
+    assert errors == {"copy.ptx": None, "locked.ptx": "the file is encrypted", "short.ptx": "2 of 3 pages are there"}
+    assert [(r["project"], len(r["sets"])) for r in Store(spark, at).saved().collect()] == [("job", 3)]
+    assert main(["corpus", "--positioned", str(tmp_path / "none"), "--store", at]) == 1 and main(["corpus", "--store", at]) == 1

@@ -2,6 +2,7 @@
 
     python -m vellum extract --words W --pages P [--strikes S] [--grid G] [--registry R] [--vocabulary V] [--only 1-3,5] --store DIR
     python -m vellum corpus --files DIR --words W --pages P [--strikes S] [--grid G] [--vocabulary V] [--register] --store DIR
+    python -m vellum corpus --positioned DIR [--vocabulary V] [--register] --store DIR
     python -m vellum evaluate --gold FILE [--source PATH ...] --store DIR
     python -m vellum export --store DIR --to DIR [--format csv|json]
 
@@ -38,9 +39,8 @@ def main(args: list[str] | None = None) -> int:
         extract.add_argument(f"--{name}")
     extract.add_argument("--only", type=pages)
     corpus = verbs.add_parser("corpus")
-    for name in ("files", "words", "pages", "store"):
-        corpus.add_argument(f"--{name}", required=True)
-    for name in ("strikes", "grid", "vocabulary"):
+    corpus.add_argument("--store", required=True)
+    for name in ("positioned", "files", "words", "pages", "strikes", "grid", "vocabulary"):
         corpus.add_argument(f"--{name}")
     corpus.add_argument("--register", action="store_true")
     evaluate = verbs.add_parser("evaluate")
@@ -60,6 +60,7 @@ def main(args: list[str] | None = None) -> int:
     from vellum.operators.evaluate import evaluate as measure
     from vellum.operators import relate
     from vellum.plans.corpus import run as corpus_run
+    from vellum.plans.corpus import run_folder
     from vellum.plans.extract import extract as read
     from vellum.plans.extract import results
     from vellum.sources import scan, sinks
@@ -79,11 +80,17 @@ def main(args: list[str] | None = None) -> int:
             print(json.dumps(store.saved().selectExpr("count(*) documents", "sum(size(sets)) sets").first().asDict()))
         elif given.verb == "corpus":
             table = lambda p: spark.read.parquet(p) if p else None
-            files = scan.corpus_files(spark, given.files)
-            if files.isEmpty():
-                raise ValueError(f"no files in {given.files}")
             words = Vocabulary.read(table(given.vocabulary)) if given.vocabulary else NONE
-            found, runs = corpus_run(files, table(given.words), table(given.pages), table(given.strikes), table(given.grid), words)
+            if given.positioned:
+                files, found, runs = run_folder(spark, given.positioned, words)
+            elif not (given.files and given.words and given.pages):
+                raise ValueError("corpus needs --positioned, or --files, --words and --pages")
+            else:
+                files = scan.corpus_files(spark, given.files)
+            if files.isEmpty():
+                raise ValueError(f"no files in {given.positioned or given.files}")
+            if not given.positioned:
+                found, runs = corpus_run(files, table(given.words), table(given.pages), table(given.strikes), table(given.grid), words)
             store.save(found)
             runs.write.mode("overwrite").parquet(f"{given.store}/runs")
             if given.register:

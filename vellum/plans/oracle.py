@@ -209,4 +209,13 @@ SQL: dict[str, str] = {
         SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS set_number, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS qty, p_name AS description, p_brand AS catalog_number, l_returnflag AS finish, p_type AS mfr
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_linenumber = 2 AND o_custkey % 2 = 1 AND o_custkey % 7 <> 0)""",
     "line_grouping": f"WITH {WORDS}, l AS (SELECT doc_id, page, line_no, count(*) AS n FROM words GROUP BY doc_id, page, line_no) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words FROM l",
+    "positioned_words": f"""WITH {WORDS}
+        SELECT doc_id, page, count(*) AS n_words, CAST(sum(x0) AS BIGINT) AS x0, CAST(sum(x1) AS BIGINT) AS x1, CAST(sum(y1) AS BIGINT) AS y1,
+               CAST(sum(length(text)) AS BIGINT) AS chars, max(text) AS last_word
+        FROM words GROUP BY doc_id, page""",
+    "document_check": f"""WITH {WORDS},
+        files AS (SELECT doc_id, CAST(count(DISTINCT page) AS INTEGER) AS n FROM words GROUP BY doc_id)
+        SELECT 'document/' || doc_id AS path, CASE WHEN doc_id % 3 <> 0 THEN n END AS page_count,
+               CASE WHEN doc_id % 3 = 0 THEN n || ' of ' || (n + 1) || ' pages are there' END AS error FROM files
+        UNION ALL SELECT 'page/' || page_id, NULL, 'not a positioned-text file' FROM pages""",
 }

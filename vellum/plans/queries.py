@@ -12,7 +12,8 @@ from vellum.functions.vocabulary import Vocabulary
 from vellum.operators import assignment, audit, columns, metrics, overlay, relate, segments
 from vellum.operators.lines import group_lines
 from vellum.plans.extract import distinct_notes, extract, finish
-from vellum.sources import scan, sinks
+from vellum.sources import positioned, scan, sinks
+from vellum.stages import cut, new_folder, remove
 
 QUERIES: dict = {}
 
@@ -491,6 +492,41 @@ def line_grouping(spark, sf_dir):
     return grouped.select(F.col("doc_id").cast("long").alias("doc_id"), "page", "line_no", F.size("words").alias("n_words"))
 
 
+def positioned_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: every document that has a word, as a positioned-text file."""
+    w = words(spark, sf_dir).withColumns({"doc_id": F.col("doc_id").cast("string"), "word_seq": (F.col("line_no") * 10_000 + F.col("k")).cast("int"), "rotated": F.lit(False)})
+    places = {c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")}
+    pages = w.select("doc_id", "page").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("ocr"))
+    return positioned.contents(w.withColumns(places), pages)
+
+
+@query
+def positioned_words(spark, sf_dir):
+    """The documents, written as positioned-text files and read back by the data source: the words of every page."""
+    folder = new_folder(spark, "positioned")
+    positioned.register(spark)
+    positioned_contents(spark, sf_dir).withColumnRenamed("doc_id", "path").write.format("positioned").mode("append").save(folder)
+    found = positioned.load(spark, folder, "words")
+    of_page = found.groupBy(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "page").agg(
+        F.count("*").alias("n_words"), F.sum("x0").cast("long").alias("x0"), F.sum("x1").cast("long").alias("x1"), F.sum("y1").cast("long").alias("y1"),
+        F.sum(F.length("text")).alias("chars"), F.max("text").alias("last_word"),
+    )
+    of_page = cut(of_page)
+    remove(spark, folder)
+    return of_page
+
+
+@query
+def document_check(spark, sf_dir):
+    """Files of all kinds through the table function: documents as positioned text, those whose id 3 divides with a page too few, and web pages, which are none."""
+    made = positioned_contents(spark, sf_dir)
+    n = F.regexp_extract("content", r"^positioned-text 1 (\d+)", 1)
+    more = F.regexp_replace("content", r"^positioned-text 1 \d+", F.concat(F.lit("positioned-text 1 "), (n.cast("int") + 1).cast("string")))
+    files = made.select(F.concat(F.lit("document/"), "doc_id").alias("path"), F.when(F.col("doc_id").cast("long") % 3 == 0, more).otherwise(F.col("content")).alias("content"))
+    files = files.unionByName(table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("path"), F.col("html").alias("content")))
+    return positioned.tables_of(files, table="files").select("path", "page_count", "error")
+
+
 @query
 def assign_rows(spark, sf_dir):
     """Items of an order assigned to a disturbed copy of them."""
