@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import ngram_join
 
@@ -132,21 +134,45 @@ def test_hot_groups_and_columns_that_clash(spark, monkeypatch):
     check(ngram_join.join(docs).collect(), rows + [(10_000 + i, rows[7][1]) for i in range(40)])
 
 
+def similar_pairs(n, words=9000, seed=1):
+    r, rows = random.Random(seed), []
+    for _ in range(n):
+        w = [f"w{r.randrange(words)}" for _ in range(90)]
+        rows.append(" ".join(w))
+        w[45] = w[46] = "changed"
+        rows.append(" ".join(w))
+    return list(enumerate(rows))
+
+
 def test_runs_go_on_until_the_target_recall(spark, monkeypatch):
-    made = []
-    plain = ngram_join.paths
+    made, plain, known = [], ngram_join.paths, ngram_join.met
     monkeypatch.setattr(ngram_join, "paths", lambda reps, n, first, runs: made.append(first) or plain(reps, n, first, runs))
     monkeypatch.setattr(ngram_join, "STEP", 1)
     monkeypatch.setattr(ngram_join, "LEAF", 4)
-    r = random.Random(1)
-    rows = []
-    for _ in range(60):
-        w = [f"w{r.randrange(9000)}" for _ in range(90)]
-        rows.append(" ".join(w))
-        w[45] = w[46] = "changed"
-        rows.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # The first two steps seem to meet nearly none, so that a third is needed.
+    monkeypatch.setattr(ngram_join, "met", lambda pairs, nodes: known(pairs, nodes).limit(3 if len(made) < 3 else 400))
+    rows = similar_pairs(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = ngram_join.signatures(docs).withColumnRenamed("row", "rep")
     assert ngram_join.probes(sets).count() >= 40
-    check(ngram_join.join(docs).collect(), list(enumerate(rows)))
-    assert len(made) > 1
+    check(ngram_join.join(docs).collect(), rows)
+    assert made[:3] == [0, 1, 2]
+
+
+def test_two_steps_are_made_at_least_and_too_little_recall_is_an_error(spark, monkeypatch):
+    made, plain = [], ngram_join.paths
+    monkeypatch.setattr(ngram_join, "paths", lambda reps, n, first, runs: made.append(first) or plain(reps, n, first, runs))
+    monkeypatch.setattr(ngram_join, "STEP", 1)
+    docs = spark.createDataFrame(similar_pairs(20), "doc_id long, text string")
+    ngram_join.join(docs)
+    assert made == [0, 1]
+    monkeypatch.setattr(ngram_join, "MOST_RUNS", 2)
+    monkeypatch.setattr(ngram_join, "met", lambda pairs, nodes: pairs.limit(3))
+    with pytest.raises(RuntimeError, match="target recall"):
+        ngram_join.join(docs)
+
+
+def test_rows_that_repeat_an_id_and_a_text_are_shipped_once_by_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")] * 500 + [(2, "a b c d e g")], "doc_id long, text string").repartition(3)
+    wanted = docs.distinct().select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("rep"))
+    assert ngram_join._with_shingles(docs, wanted).count() <= 4

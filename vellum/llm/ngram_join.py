@@ -47,7 +47,9 @@ from vellum.llm.components import components
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, LEAF, DEPTH = 64, 64, 9
 #: Runs are made so many at once until RECALL of the probed pairs meet; probes are the first sets by a hash.
-STEP, MOST_RUNS, RECALL, PROBES = 8, 32, 0.99, 400
+STEP, MOST_RUNS, RECALL, PROBES = 4, 32, 0.99, 400
+#: At least so many steps are made: all pairs share a run's roots, so the recall after few runs is a single draw.
+LEAST_STEPS = 2
 #: A child with this share of its node isn't split again.
 ALIKE = 0.7
 #: Embeddings that agree in fewer coordinates (4 standard deviations under 0.8) aren't compared exactly.
@@ -267,8 +269,10 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in rest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = word_hashes()
+        memo, seen = word_hashes(), set()
         for batch in batches:
+            # Rows that repeat an id and a text all meet the one candidate of that text: a task passes one of them on.
+            batch = batch[[not (r in seen or seen.add(r)) for r in batch["rep"].tolist()]]
             for part in text_chunks(batch["text"]):
                 out = batch.iloc[part][rest].copy()
                 out["shingles"] = [s.view(np.int64) for s in shingle_sets(batch["text"].iloc[part], memo)]
@@ -301,12 +305,17 @@ def candidate_links(reps: DataFrame, n: int) -> DataFrame:
         least = same.groupBy("path").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
         stars = join_groups(same.select("rep", "path"), least, ["path"], "n", n_alike, most=n_alike).select(F.col("rep").alias("u"), "v")
         links.append(checkpoint(edges.unionByName(stars).distinct()))
-        if not wanted:
-            break
+        if not wanted:  # no probed set has a partner; the least number of steps is made all the same
+            if first >= (LEAST_STEPS - 1) * STEP:
+                break
+            continue
         now = met(pairs, leaf.unionByName(same.select("rep", "path")))
         found = checkpoint((found.unionByName(now) if found is not None else now).distinct())
-        if found.count() >= RECALL * wanted:
+        have = found.count()
+        if have >= RECALL * wanted and first >= (LEAST_STEPS - 1) * STEP:
             break
+    else:
+        raise RuntimeError(f"{MOST_RUNS} runs have met {have} of {wanted} probed pairs, less than the target recall {RECALL}")
     return _union(links)
 
 
