@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,19 @@ def register(files: DataFrame, registry: DataFrame, now) -> DataFrame:
     from vellum.sources.scan import new_files
 
     return new_files(files, registry).select(F.substring("sha256", 1, 32).alias("id"), "name", F.element_at(F.split("path", "/"), -2).alias("project"), "sha256", F.col("path").alias("source_path"), F.lit(now).cast("timestamp").alias("created_at"), F.lit("registered").alias("status"))
+
+
+def _gone(path: str) -> bool:
+    """No file is there any more."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
+    return store.get_file_info(at).type == fs.FileType.NotFound
+
+
+def restored(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows whose source is gone and whose content is among the files, with that file as the source."""
+    here = files.groupBy("sha256").agg(F.min("path").alias("path"), F.collect_set("path").alias("paths"))
+    gone = F.pandas_udf(lambda paths: pd.Series([_gone(p) for p in paths], dtype=bool), "boolean")
+    moved = registry.join(here, "sha256").where("NOT array_contains(paths, source_path)").where(gone("source_path"))
+    return moved.withColumn("source_path", F.col("path")).select(*registry.columns)
