@@ -219,3 +219,11 @@ SQL: dict[str, str] = {
                CASE WHEN doc_id % 3 = 0 THEN n || ' of ' || (n + 1) || ' pages are there' END AS error FROM files
         UNION ALL SELECT 'page/' || page_id, NULL, 'not a positioned-text file' FROM pages""",
 }
+
+#: The stream of corrections gives what the overlay gives.
+SQL["live_overlay"] = SQL["correction_overlay"]
+
+#: Each copy with its own row: both texts equal, and three fields that agree.
+SQL["assignment_totals"] = """
+    SELECT l_orderkey AS o_orderkey, count(*) AS n_gold, count(*) FILTER (l_linenumber <> 5) AS n_matched, round(CAST(6.03 AS DOUBLE) * count(*) FILTER (l_linenumber <> 5), 2) AS total
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""

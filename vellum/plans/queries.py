@@ -14,6 +14,7 @@ from vellum.operators.lines import group_lines
 from vellum.plans.extract import distinct_notes, extract, finish
 from vellum.sources import positioned, scan, sinks
 from vellum.stages import cut, new_folder, remove
+from vellum.streaming import live
 
 QUERIES: dict = {}
 
@@ -101,6 +102,21 @@ def correction_overlay(spark, sf_dir):
     return overlay.overlay(base, talks.where("turn > 0").select("conv_id", "turn", "role", "text"), ["conv_id"], ["role", "text"], ["turn"])
 
 
+@query
+def live_overlay(spark, sf_dir):
+    """The same corrections as a stream, in three micro-batches whose turns come in no order."""
+    talks, folder = table(spark, sf_dir, "conversations"), new_folder(spark, "live")
+    later, columns_ = talks.where("turn > 0").select("conv_id", "turn", "role", "text"), ["role", "text"]
+    base = talks.where("turn = 0").select("conv_id", *columns_)
+    at = live.LiveOverlay(spark, folder, lambda: base, ["conv_id"], columns_, ["turn"])
+    for part in (2, 0, 1):
+        later.where(F.col("turn") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        at.start(spark.readStream.schema(later.schema).parquet(f"{folder}/in")).awaitTermination()
+    found = cut(at.view())
+    remove(spark, folder)
+    return found
+
+
 @query
 def correction_audit(spark, sf_dir):
     return overlay.audit(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "before", "after")
@@ -537,6 +553,17 @@ def assign_rows(spark, sf_dir):
     return assignment.match_rows(pairs).select(F.col("set_key").cast("long").alias("o_orderkey"), "gold_row", "predicted_row", F.round("weight", 6).alias("weight"))
 
 
+@query
+def assignment_totals(spark, sf_dir):
+    """Items of an order assigned to a copy of them without the fifth, in capitals: the greatest total is that of all copies with their own."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    row = lambda name: F.struct(F.col("l_quantity").cast("string").alias("qty"), name.alias("description"), F.col("p_brand").alias("catalog_number"), F.col("l_returnflag").alias("mfr"), F.col("l_linestatus").alias("finish"))
+    gold, copy = row(F.col("p_name")), F.when(F.col("l_linenumber") != 5, row(F.upper("p_name")))
+    pairs = items.groupBy(F.col("l_orderkey").alias("set_key")).agg(F.array_sort(F.collect_list(gold)).alias("gold"), F.array_sort(F.collect_list(copy)).alias("predicted"))
+    found = assignment.match_rows(pairs).groupBy(F.col("set_key").cast("long").alias("o_orderkey"))
+    return found.agg(F.count("*").alias("n_gold"), F.count_if(F.col("predicted_row") >= 0).alias("n_matched"), F.round(F.sum("weight"), 2).alias("total"))
+
+
 @query
 def ratio_similarity(spark, sf_dir):
     """Each part's name against its type, and both normalized."""
