@@ -166,3 +166,15 @@ def test_consensus_inheritance_wraps_and_notes(spark):
     assert a["confidence"] == 0.87 and a["components"][0]["mapping_reason"] == "column_consensus" and a["notes"][0] == "keep dry"
     (b,) = got["skipped"]
     assert [fields(c) for c in b["components"]] == [(1.0, "STOP", "W1", "US26D", "IVE"), (2.0, "HOLDER with arm", "H1", "BLK", "LCN")] and [x["page"] for x in b["locations"]] == [1, 4]
+
+
+def test_blank_quantities_lead_rows(spark):
+    """Two dashes or underscores, to be filled in, are a quantity that isn't known; a caller's words name unused sets."""
+    rows = [(100, [(60, "HARDWARE SET: 8 - HALL")]), (120, HEADS), row(140, "--", "CLOSER", "4040XP", "AL", "LCN"), row(160, "__", "HINGE", "BB1", "US26D", "IVE"), row(180, "2", "SEAL", "S88", "BLK", "PE"),
+            (300, [(60, "HARDWARE SET: 9 - ENTFALLEN")])]
+    words, facts = page("blank", 1, rows)
+    values = trade(spark).values | {"unused": ("entfallen",)}
+    out = extract(spark.createDataFrame(words, schemas.WORDS), spark.createDataFrame([facts], schemas.PAGES), None, None, Vocabulary(values))
+    found = out["components"].orderBy("row").collect()
+    assert [(r["description"], r["qty_num"], r["qty_text"], r["qty_raw"]) for r in found] == [("CLOSER", None, None, "--"), ("HINGE", None, None, "__"), ("SEAL", 2.0, None, "2")]
+    assert {r["set"]["set_number"]: r["set"]["status"] for r in out["sets"].collect()} == {"8": "active", "9": "not_used"}

@@ -54,7 +54,6 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
     sets = whole.select(F.posexplode(F.arrays_zip(F.from_json("json", _GOLD).alias("gold"), raw.alias("raw"), named.alias("named"))).alias("gold_id", "s"))
     keys = F.transform(F.col("s.raw.components"), lambda m: F.array_intersect(F.map_keys(m), F.array(*map(F.lit, FIELDS))))
     gold = sets.select(
-        F.monotonically_increasing_id().alias("gold_id"),
         "s.gold.source_path",
         F.array_sort(F.array_distinct(F.coalesce("s.gold.pages", F.array("s.gold.page")))).alias("pages"),
         "s.gold.set_number",
@@ -67,15 +66,21 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
     identity = Window.partitionBy(T.path_norm("source_path"), "pages", F.lower("set_number"))
     wrong = F.col("source_path").isNull() | F.col("set_number").isNull() | F.col("components").isNull() | F.exists("pages", lambda p: p.isNull() | (p < 1))
     checked = F.when(wrong, F.raise_error(F.lit("a gold set needs a path, a number, rows and 1-based pages"))).when(F.count("*").over(identity) > 1, F.raise_error(F.lit("a gold set occurs twice"))).otherwise(F.col("set_number"))
-    return gold.withColumn("set_number", checked)
+    return gold.withColumn("set_number", checked).select(gold_id().alias("gold_id"), "*")
+
+
+def gold_id(part: int = 0) -> Column:
+    """A gold set's number, from what it is: the same when a task runs again. part: of several tables that may hold the same set."""
+    return F.xxhash64(T.path_norm("source_path"), "pages", F.lower("set_number"), F.lit(part))
 
 
 def union_gold(*parts: DataFrame) -> DataFrame:
     """Several gold tables as one, with numbers of their own; columns that a part lacks are null."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole.withColumn("gold_id", F.monotonically_increasing_id())
+    whole = None
+    for n, part in enumerate(parts):
+        part = part.withColumn("gold_id", gold_id(n))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def text_inventory(lines: DataFrame, before: int = 1, after: int = 2, poor: int = 60) -> DataFrame:
