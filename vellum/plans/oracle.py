@@ -227,3 +227,47 @@ SQL["live_overlay"] = SQL["correction_overlay"]
 SQL["assignment_totals"] = """
     SELECT l_orderkey AS o_orderkey, count(*) AS n_gold, count(*) FILTER (l_linenumber <> 5) AS n_matched, round(CAST(6.03 AS DOUBLE) * count(*) FILTER (l_linenumber <> 5), 2) AS total
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""
+
+#: The gold orders: which of them and of their items the results have, and what is wrong with these.
+GOLD = """
+    i AS (
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth
+        FROM lineitem JOIN part ON l_partkey = p_partkey),
+    o AS (SELECT *, o_orderkey % 5 <> 0 AS found FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM i)),
+    r AS (SELECT i.*, o.found AND nth <> 5 AS matched FROM i JOIN o ON l_orderkey = o_orderkey)"""
+
+SQL["evaluation_metrics"] = f"""
+    WITH {GOLD},
+    m AS (
+        SELECT 'set_recall' AS metric, count(*) FILTER (found) AS correct, count(*) AS total FROM o
+        UNION ALL SELECT 'set_description', count(*) FILTER (found AND o_custkey % 2 = 0), count(*) FROM o
+        UNION ALL SELECT 'set_status', count(*) FILTER (found), count(*) FROM o
+        UNION ALL SELECT 'row_recall', count(*) FILTER (matched), count(*) FROM r
+        UNION ALL SELECT 'row_precision', (SELECT count(*) FROM r WHERE matched), (SELECT count(*) FROM r WHERE matched) + (SELECT count(*) FROM o WHERE found AND starts_with(o_orderpriority, '1'))
+        UNION ALL SELECT 'whole_row', count(*) FILTER (matched AND nth NOT IN (2, 3)), count(*) FROM r
+        UNION ALL SELECT 'maker_finish_swaps', count(*) FILTER (matched AND nth = 2), count(*) FROM r
+        UNION ALL SELECT unnest(['field_qty', 'field_description', 'field_catalog_number']), count(*) FILTER (matched), count(*) FROM r
+        UNION ALL SELECT 'field_mfr', count(*) FILTER (matched AND nth NOT IN (2, 3)), count(*) FROM r)
+    SELECT metric, correct, total, CAST(correct AS DOUBLE) / total AS accuracy FROM m"""
+
+SQL["evaluation_extra_rows"] = f"""
+    WITH {GOLD} SELECT o_orderkey, CAST(1 AS BIGINT) AS n, '%%%%' AS description FROM o WHERE found AND starts_with(o_orderpriority, '1')"""
+
+SQL["grounding_failures"] = f"""
+    WITH {LINES},
+    plain AS (SELECT doc_id, line_no, regexp_replace(line, '[^A-Za-z0-9 ]', '', 'g') AS line FROM lines),
+    rows AS (
+        SELECT line_no % 3 = 0 AS away, len(list_filter(regexp_extract_all(lower(line), '[a-z0-9]+'), lambda t: length(t) >= 2)) AS n
+        FROM plain WHERE regexp_matches(line, '[^ ]'))
+    SELECT kind, CAST(n AS BIGINT) AS n FROM (
+        SELECT 'box' AS kind, count(*) FILTER (away) AS n FROM rows
+        UNION ALL SELECT 'description', count(*) FILTER (away OR n = 0) FROM rows
+        UNION ALL SELECT 'raw_text', count(*) FILTER (away AND n > 0) FROM rows) WHERE n > 0"""
+
+SQL["legend_codes"] = """
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS nth FROM part),
+    e AS (
+        SELECT CAST(p_size AS BIGINT) AS p_size, CAST(nth // 20 + 1 AS INTEGER) AS page, CAST(nth % 20 + 2 AS INTEGER) AS line_no, 'B' || regexp_extract(p_brand, '([0-9]+)', 1) AS code,
+               p_name AS description, CAST(p_partkey AS VARCHAR) AS catalog_number, p_type AS mfr FROM n)
+    SELECT p_size, page, code, description, catalog_number, mfr, line_no, CAST(0.94 AS DOUBLE) AS confidence FROM e
+    QUALIFY row_number() OVER (PARTITION BY p_size, page, code ORDER BY line_no DESC) = 1"""

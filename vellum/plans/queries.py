@@ -9,7 +9,7 @@ from vellum import schemas
 from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.functions.vocabulary import Vocabulary
-from vellum.operators import assignment, audit, columns, metrics, overlay, relate, segments
+from vellum.operators import assignment, audit, columns, evaluate, lookups, metrics, overlay, relate, segments
 from vellum.operators.lines import group_lines
 from vellum.plans.extract import distinct_notes, extract, finish
 from vellum.sources import positioned, scan, sinks
@@ -564,6 +564,82 @@ def assignment_totals(spark, sf_dir):
     return found.agg(F.count("*").alias("n_gold"), F.count_if(F.col("predicted_row") >= 0).alias("n_matched"), F.round(F.sum("weight"), 2).alias("total"))
 
 
+def gold_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(gold, results): orders as gold sets, and as results that lack every fifth order, the fifth item of each, and the maker of the third; that swap maker
+    and finish of the second; and that add an item of their own to orders of the first priority. An item's product carries its place, so that it has one partner."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    fields = [F.col("l_quantity").cast("string").alias("qty"), F.col("p_name").alias("description"), F.concat_ws("-", "p_brand", "nth").alias("catalog_number"), F.col("l_returnflag").alias("mfr"), F.col("l_linestatus").alias("finish"), F.lit(None).cast("string").alias("notes")]
+    annotated = F.array(*map(F.lit, ("qty", "description", "catalog_number", "mfr")))
+    gold_row = F.struct(F.struct(*fields).alias("row"), annotated.alias("annotated"))
+    at = F.array(F.struct(F.lit(1), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))), F.lit(10.0), F.lit(10.0), F.lit(1), F.lit(1)))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    mfr = F.when(F.col("nth") == 3, "other").when(F.col("nth") == 2, F.col("l_linestatus")).otherwise(F.col("l_returnflag"))
+    finish = F.when(F.col("nth") == 2, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
+    texts = (null, null, null, F.upper("p_name"), fields[2], mfr, finish, null)
+    component = F.struct(F.col("nth").cast("string"), F.col("l_quantity").cast("double"), *texts, F.create_map(F.lit("qty"), F.lit(0.9)), at, F.lit(""), none, F.lit(None), null, F.lit(False)).cast(schemas.COMPONENT)
+    extra = F.struct(F.lit("x"), F.lit(1.0), null, null, null, F.lit("%%%%"), null, null, null, null, F.create_map(F.lit("qty"), F.lit(0.9)), at, F.lit(""), none, F.lit(None), null, F.lit(False)).cast(schemas.COMPONENT)
+    rows = items.withColumn("nth", nth).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("nth", gold_row.alias("g")))).alias("gold"), F.array_sort(F.collect_list(F.when(F.col("nth") != 5, F.struct("nth", component.alias("c")))), lambda a, b: a["nth"] - b["nth"]).alias("found"))
+    orders = table(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    key, name = F.col("o_orderkey").cast("string"), F.concat(F.lit("o"), "o_orderkey", F.lit(".pdf"))
+    gold = orders.select(
+        F.col("o_orderkey").alias("gold_id"), name.alias("source_path"), F.array(F.lit(1)).alias("pages"), key.alias("set_number"), F.col("o_orderpriority").alias("description"), F.lit("active").alias("status"),
+        F.lit(None).cast("array<string>").alias("notes"), F.array(F.lit("description"), F.lit("status")).alias("annotated"), F.transform("gold", lambda x: x["g"]).alias("components"),
+    )
+    described = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise("other")
+    own = F.when(F.col("o_orderpriority").startswith("1"), F.array(extra)).otherwise(F.array().cast(f"array<{schemas.COMPONENT}>"))
+    components = F.concat(F.transform("found", lambda x: x["c"]).cast(f"array<{schemas.COMPONENT}>"), own.cast(f"array<{schemas.COMPONENT}>"))
+    made = F.struct(key, key, described, F.lit("active"), at, components, none, none, F.lit(0.9), F.lit(False)).cast(schemas.SET)
+    results = orders.where("o_orderkey % 5 <> 0").select(F.lit("1.0").alias("schema_version"), key.alias("id"), name.alias("name"), F.lit("p").alias("project"), F.lit(1).alias("page_count"), F.array(made).alias("sets"), none.alias("warnings"), null.alias("stats"), F.concat(F.lit("corpus/"), name).alias("source_path"))
+    return gold, results
+
+
+@query
+def evaluation_metrics(spark, sf_dir):
+    """The whole evaluation: documents by path, sets, rows by assignment, fields of rows and of sets."""
+    return evaluate.evaluate(*gold_orders(spark, sf_dir))[0]
+
+
+@query
+def evaluation_extra_rows(spark, sf_dir):
+    """Predicted rows that no gold row was matched with, for each set."""
+    gold, results = gold_orders(spark, sf_dir)
+    pairs = cut(evaluate.set_pairs(gold, results))
+    shaped = pairs.select(F.col("gold_id").cast("string").alias("set_key"), F.transform("components", lambda c: c["row"]).alias("gold"), "predicted")
+    found = evaluate.extra_rows(pairs, assignment.match_rows(shaped))
+    return found.groupBy(F.col("set_key").cast("long").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("row.description").alias("description"))
+
+
+@query
+def grounding_failures(spark, sf_dir):
+    """Audit of lines as rows: every third line's box lies beyond its page, so that it is wrong and holds no words."""
+    plain = lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[^A-Za-z0-9 ]", ""))
+    w = scan.derive_words(plain).withColumn("doc_id", F.col("doc_id").cast("string"))
+    boxes = w.groupBy("doc_id", "page", "line_no").agg(*G.union_box())
+    rows = boxes.join(plain.withColumn("doc_id", F.col("doc_id").cast("string")), ["doc_id", "line_no"])
+    away = F.when(F.col("line_no") % 3 == 0, 10_000_000).otherwise(0)
+    box = F.array(*[(F.col(c) + (away if c[0] == "x" else 0)).cast("double") for c in ("x0", "y0", "x1", "y1")])
+    at = F.array(F.struct(F.col("page").alias("page"), box.alias("bbox")))
+    null = F.lit(None).cast("string")
+    components = rows.select("doc_id", F.col("line_no").alias("row"), F.col("line").alias("description"), F.col("line").alias("raw_text"), null.alias("catalog_number"), null.alias("mfr"), null.alias("finish"), at.alias("locations"))
+    pages = w.select("doc_id", "page").distinct().select("*", F.lit(9_000_000.0).alias("width"), F.lit(792.0).alias("height"))
+    return audit.failure_counts(audit.source_grounding(components, w, pages))
+
+
+@query
+def legend_codes(spark, sf_dir):
+    """Parts listed as the entries of legends, twenty on a page: the last meaning of each code."""
+    nth = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")) - 1
+    part = table(spark, sf_dir, "part").withColumn("nth", nth).select(
+        F.col("p_size").cast("string").alias("doc_id"), (F.floor(F.col("nth") / 20) + 1).cast("int").alias("page"), (F.col("nth") % 20 + 2).cast("int").alias("line_no"),
+        F.concat(F.lit("b"), F.regexp_extract("p_brand", "([0-9]+)", 1), F.lit(" = "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_type").alias("text"),
+    )
+    titles = part.select("doc_id", "page").distinct().select("*", F.lit(1).alias("line_no"), F.lit("HARDWARE LEGEND").alias("text"))
+    word = lambda t, k: F.struct(t.alias("text"), (k * 60.0).alias("x0"), F.lit(0.0).alias("y0"), (k * 60.0 + 50).alias("x1"), F.lit(9.0).alias("y1"))
+    printed = part.unionByName(titles).select("doc_id", "page", "line_no", F.transform(F.split("text", " "), word).alias("words"))
+    return lookups.find_lookups(printed).select(F.col("doc_id").cast("long").alias("p_size"), "page", "code", "description", "catalog_number", "mfr", "line_no", "confidence")
+
+
 @query
 def ratio_similarity(spark, sf_dir):
     """Each part's name against its type, and both normalized."""
