@@ -148,6 +148,7 @@ def test_runs_go_on_until_the_target_recall(spark, monkeypatch):
     made, plain, known = [], ngram_join.paths, ngram_join.met
     monkeypatch.setattr(ngram_join, "paths", lambda reps, n, first, runs: made.append(first) or plain(reps, n, first, runs))
     monkeypatch.setattr(ngram_join, "STEP", 1)
+    monkeypatch.setattr(ngram_join, "LEAST_RUNS", 2)
     monkeypatch.setattr(ngram_join, "LEAF", 4)
     # The first two steps seem to meet nearly none, so that a third is needed.
     monkeypatch.setattr(ngram_join, "met", lambda pairs, nodes: known(pairs, nodes).limit(3 if len(made) < 3 else 400))
@@ -159,10 +160,11 @@ def test_runs_go_on_until_the_target_recall(spark, monkeypatch):
     assert made[:3] == [0, 1, 2]
 
 
-def test_two_steps_are_made_at_least_and_too_little_recall_is_an_error(spark, monkeypatch):
+def test_the_least_number_of_runs_is_made_and_too_little_recall_is_an_error(spark, monkeypatch):
     made, plain = [], ngram_join.paths
     monkeypatch.setattr(ngram_join, "paths", lambda reps, n, first, runs: made.append(first) or plain(reps, n, first, runs))
     monkeypatch.setattr(ngram_join, "STEP", 1)
+    monkeypatch.setattr(ngram_join, "LEAST_RUNS", 2)
     docs = spark.createDataFrame(similar_pairs(20), "doc_id long, text string")
     ngram_join.join(docs)
     assert made == [0, 1]

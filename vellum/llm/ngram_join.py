@@ -47,9 +47,9 @@ from vellum.llm.components import components
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, LEAF, DEPTH = 64, 64, 9
 #: Runs are made so many at once until RECALL of the probed pairs meet; probes are the first sets by a hash.
-STEP, MOST_RUNS, RECALL, PROBES = 4, 32, 0.99, 400
-#: At least so many steps are made: all pairs share a run's roots, so the recall after few runs is a single draw.
-LEAST_STEPS = 2
+STEP, MOST_RUNS, RECALL, PROBES = 8, 32, 0.99, 400
+#: At least so many runs are made: all pairs share a run's root, so the recall of a single run is a single draw.
+LEAST_RUNS = 8
 #: A child with this share of its node isn't split again.
 ALIKE = 0.7
 #: Embeddings that agree in fewer coordinates (4 standard deviations under 0.8) aren't compared exactly.
@@ -305,14 +305,14 @@ def candidate_links(reps: DataFrame, n: int) -> DataFrame:
         least = same.groupBy("path").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
         stars = join_groups(same.select("rep", "path"), least, ["path"], "n", n_alike, most=n_alike).select(F.col("rep").alias("u"), "v")
         links.append(checkpoint(edges.unionByName(stars).distinct()))
-        if not wanted:  # no probed set has a partner; the least number of steps is made all the same
-            if first >= (LEAST_STEPS - 1) * STEP:
+        if not wanted:  # no probed set has a partner; the least number of runs is made all the same
+            if first + STEP >= LEAST_RUNS:
                 break
             continue
         now = met(pairs, leaf.unionByName(same.select("rep", "path")))
         found = checkpoint((found.unionByName(now) if found is not None else now).distinct())
         have = found.count()
-        if have >= RECALL * wanted and first >= (LEAST_STEPS - 1) * STEP:
+        if have >= RECALL * wanted and first + STEP >= LEAST_RUNS:
             break
     else:
         raise RuntimeError(f"{MOST_RUNS} runs have met {have} of {wanted} probed pairs, less than the target recall {RECALL}")
