@@ -132,3 +132,34 @@ def test_only_changed_files_are_read(spark, tmp_path):
     assert [s["description"] for s in now["sets"]][0] == "fixed" and store.document(doc).count() == 1
     assert {r["path"]: r["gone"] for r in store._table("sources").collect()} == {"bad.ptx": False, "moved.ptx": False, "plain.ptx": True, "swapped.ptx": False}
     assert refresh()["same"] == 3
+
+
+def test_verbs_of_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from vellum.__main__ import main
+
+    words, facts = [], []
+    for number, rows in DOCS["plain"]:
+        w, p = page("job/plain", number, rows)
+        words += w
+        facts.append(p)
+    positioned.register(spark)
+    made = positioned.contents(spark.createDataFrame(words, schemas.WORDS), spark.createDataFrame(facts, schemas.PAGES)).withColumnRenamed("doc_id", "path")
+    made.write.format("positioned").mode("append").save(str(tmp_path / "f"))
+    (tmp_path / "gold.json").write_text('[{"source_path": "job/plain.ptx", "page": 1, "set_number": "01", "components": []}]')
+    at = ["--store", str(tmp_path / "s")]
+    assert main(["evaluate", "--gold", str(tmp_path / "gold.json"), "--positioned", str(tmp_path / "f"), *at]) == 0
+    assert {r["metric"]: (r["correct"], r["total"]) for r in json.loads(capsys.readouterr().out)}["set_recall"] == (1, 1)
+    assert main(["refresh", "--positioned", str(tmp_path / "f"), *at]) == 0
+    assert json.loads(capsys.readouterr().out)["added"] == 1
+    store = Store(spark, at[1])
+    doc = store.saved().first()
+    fixed = doc["sets"][0].asDict(True) | {"description": "fixed"}
+    spark.createDataFrame([(doc["id"], fixed["id"], 1, datetime(2024, 1, 1), fixed)], schemas.CORRECTIONS).write.parquet(str(tmp_path / "c"))
+    assert main(["correct", "--corrections", str(tmp_path / "c"), "--since", str(store.version()), *at]) == 0
+    capsys.readouterr()
+    assert main(["correct", "--corrections", str(tmp_path / "c"), "--since", str(store.version() - 1), *at]) == 1
+    assert "committed by another writer" in capsys.readouterr().err
+    assert main(["audit", *at]) == 0
+    assert [(json.loads(x)["seq"], json.loads(x)["after"]["description"]) for x in capsys.readouterr().out.splitlines()] == [(1, "fixed")]

@@ -1,12 +1,16 @@
-"""Command line: extract, corpus, evaluate and export.
+"""Command line: extract, corpus, refresh, evaluate, correct, audit and export.
 
     python -m vellum extract --words W --pages P [--strikes S] [--grid G] [--registry R] [--vocabulary V] [--only 1-3,5] --store DIR
     python -m vellum corpus --files DIR --words W --pages P [--strikes S] [--grid G] [--vocabulary V] [--register] --store DIR
     python -m vellum corpus --positioned DIR [--vocabulary V] [--register] --store DIR
-    python -m vellum evaluate --gold FILE [--source PATH ...] --store DIR
+    python -m vellum refresh --positioned DIR [--vocabulary V] --store DIR
+    python -m vellum evaluate --gold FILE [--source PATH ...] [--positioned DIR [--vocabulary V]] --store DIR
+    python -m vellum correct --corrections C [--since VERSION] --store DIR
+    python -m vellum audit --store DIR
     python -m vellum export --store DIR --to DIR [--format csv|json]
 
-Tables are Parquet; --source names the documents to evaluate. Exit code 1 on an error (corpus: of any document), 130 when interrupted.
+Tables are Parquet; --source names the documents to evaluate. evaluate reads the folder first, if one is given; refresh reads what has changed in it since
+the last time. correct appends corrections (schemas.CORRECTIONS), if the store is still at the version that was seen. Exit code 1 on an error (corpus: of any document), 130 when interrupted.
 """
 
 from __future__ import annotations
@@ -47,6 +51,17 @@ def main(args: list[str] | None = None) -> int:
     evaluate.add_argument("--source", nargs="+")
     evaluate.add_argument("--gold", required=True)
     evaluate.add_argument("--store", required=True)
+    refresh = verbs.add_parser("refresh")
+    refresh.add_argument("--positioned", required=True)
+    refresh.add_argument("--store", required=True)
+    for verb in (evaluate, refresh):
+        verb.add_argument("--vocabulary")
+    evaluate.add_argument("--positioned")
+    correct = verbs.add_parser("correct")
+    correct.add_argument("--corrections", required=True)
+    correct.add_argument("--since", type=int)
+    correct.add_argument("--store", required=True)
+    verbs.add_parser("audit").add_argument("--store", required=True)
     export = verbs.add_parser("export")
     export.add_argument("--store", required=True)
     export.add_argument("--to", required=True)
@@ -59,6 +74,7 @@ def main(args: list[str] | None = None) -> int:
     from vellum.functions.vocabulary import NONE, Vocabulary
     from vellum.operators.evaluate import evaluate as measure
     from vellum.operators import relate
+    from vellum.plans import upkeep
     from vellum.plans.corpus import run as corpus_run
     from vellum.plans.corpus import run_folder
     from vellum.plans.extract import extract as read
@@ -99,8 +115,22 @@ def main(args: list[str] | None = None) -> int:
             summary = sinks.run_summary(spark.read.parquet(f"{given.store}/runs")).first().asDict()
             print(json.dumps(summary))
             return 1 if summary["failed"] else 0
+        elif given.verb == "refresh":
+            words = Vocabulary.read(spark.read.parquet(given.vocabulary)) if given.vocabulary else NONE
+            summary = upkeep.refresh(spark, store, given.positioned, datetime.now(UTC), words)
+            print(json.dumps(summary))
+            return 1 if summary["failed"] else 0
+        elif given.verb == "correct":
+            store.correct(spark.read.parquet(given.corrections), given.since)
+            print(json.dumps({"version": store.version()}))
+        elif given.verb == "audit":
+            for r in store.audit().select(F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+                print(r["json"])
         elif given.verb == "evaluate":
             gold = scan.load_gold(spark, given.gold)
+            if given.positioned:
+                words = Vocabulary.read(spark.read.parquet(given.vocabulary)) if given.vocabulary else NONE
+                store.save(run_folder(spark, given.positioned, words)[1])
             if given.source:
                 wanted = spark.createDataFrame([(p,) for p in given.source], "wanted string")
                 gold = gold.join(relate.suffix_match(gold.select("source_path").distinct(), wanted, "source_path", "wanted").select("source_path"), "source_path", "left_semi")

@@ -55,13 +55,17 @@ def refresh(spark: SparkSession, store: Store, folder: str, now, vocabulary: Voc
     whole = files.withColumns({"path": F.concat(F.lit(folder + "/"), "path"), "name": F.element_at(F.split("path", "/"), -1), "looks_valid": F.lit(True)})
     table = lambda t: _rows(spark, folder, t, first, n).drop("path")
     todo = whole.join(first.select("doc_id"), "doc_id", "left_semi").unionByName(whole.where("error IS NOT NULL"))
-    results, runs = run(todo, table("words"), table("pages"), table("strikes"), table("cells"), vocabulary)
+    bad = whole.where("error IS NOT NULL").count()
+    commit = {}
+    if n + bad:  # else all files are copies or new places of documents that are read
+        commit["results"], runs = run(todo, table("words"), table("pages"), table("strikes"), table("cells"), vocabulary)
+        status = {r["status"]: r["count"] for r in cut(runs).groupBy("status").count().collect()}
+        done |= {"read": status.get("ok", 0), "failed": status.get("error", 0)}
     good = whole.where("error IS NULL")
     sources = files.join(touched.select("path", "length", "modified"), ["path"]).select("path", touched["length"], "modified", F.col("doc_id").alias("id"), F.lit(False).alias("gone"))
     removed = found.where("change = 'removed'").join(store._table("sources").select("path", "id"), "path").select("path", "length", "modified", "id", F.lit(True).alias("gone"))
-    store.commit({"results": results, "registry": sinks.register(good, known, now).unionByName(sinks.restored(good, known)), "sources": sources.unionByName(removed)}, since)
-    status = {r["status"]: r["count"] for r in runs.groupBy("status").count().collect()}
-    return done | {"read": status.get("ok", 0), "failed": status.get("error", 0)}
+    store.commit(commit | {"registry": sinks.register(good, known, now).unionByName(sinks.restored(good, known)), "sources": sources.unionByName(removed)}, since)
+    return done
 
 
 def _rows(spark: SparkSession, folder: str, table: str, wanted: DataFrame, n: int) -> DataFrame:
