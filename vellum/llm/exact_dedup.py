@@ -10,7 +10,7 @@ join that streams a group's rows past one winner. Everything is a DataFrame oper
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays
 (a null doc_id is the smallest); of rows that repeat a doc_id with the same text exactly one
 stays (drop(): the one whose other columns have the least hash, so that it is the same when a task
-runs again); an empty table gives an empty result; other columns are carried and may have any names
+runs again); very long texts are hashed whole, and only their digests are shuffled by mark(); an empty table gives an empty result; other columns are carried and may have any names
 but those that start with "__dedup_".
 """
 

@@ -16,7 +16,8 @@ reads every document and its whole text, as a pandas UDF over that one column.
 Defined results: null and empty texts have no feature and get the intercepts' probabilities;
 labels with a null category or without document are left out; of labels that repeat an id each
 category's greatest value counts, so that one vote for toxic is enough; without both classes a category's probability is its (smoothed) rate and nothing is
-toxic; an empty table gives no rows; other columns are carried.
+toxic; of documents that repeat a labelled id the least text is learned from, and each row is scored; very long texts are read whole; rows of equal
+probability get the same decision; an empty table gives no rows; other columns are carried, and one that has the new column's name is replaced.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ records than were written, is an error: nothing is left out silently.
 
 Defined results: null html is an empty payload; rows that repeat a page_id with the same payload are
 responses each; a null page_id is smaller than all; line ends in a url are percent-encoded, and it may be of
-any length; an empty table gives no archive and no rows; other columns are left out, whatever their names.
+any length; very long payloads are one record, written and read whole by one task; an empty table gives no archive and no rows; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
