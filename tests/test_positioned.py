@@ -117,3 +117,24 @@ def test_corpus_command_over_a_folder(spark, tmp_path, capsys):
     assert errors == {"copy.ptx": None, "locked.ptx": "the file is encrypted", "short.ptx": "2 of 3 pages are there"}
     assert [(r["project"], len(r["sets"])) for r in Store(spark, at).saved().collect()] == [("job", 3)]
     assert main(["corpus", "--positioned", str(tmp_path / "none"), "--store", at]) == 1 and main(["corpus", "--store", at]) == 1
+
+
+def test_batches_hold_the_rows_that_are_read_line_by_line(tmp_path):
+    plain = "positioned-text 1 3\nP\t1\t612\t792\t0\nW\t-1\t2.5\t3\t1.0E7\t0\tone\nW\t1\t2\t3\t4\t1\té\\\\n\\t\nW\t1\t2\t3\t4\t0\t\nP\t4\t612.0\t792\t1\nP\t7\t1\t1\t0\nW\t0\t0\t1\t1\t0\t\"q"
+    odd = {"good": GOOD, "return": plain.replace("one", "one\r"), "tab": plain.replace("one", "one\ttwo"), "spaced": plain.replace("-1", " 1 "), "end": plain + "\n", "none": "positioned-text 1 1\nP\t1\t1\t1\t0", "infinite": plain.replace("2.5", "inf")}
+    for name, text in ({"a": plain, "b": plain.replace("one", "1")} | odd | BAD).items():
+        (tmp_path / f"{name}.ptx").write_bytes(text.encode())
+    values = lambda reader: [tuple(c[k] for c in b.to_pydict().values()) for b in reader.read(reader.partitions()[0]) for k in range(b.num_rows)]
+    for table in P.TABLES:
+        for filters in ([], [P.GreaterThan(("page",), 3)], [P.In(("path",), ("a.ptx", "b.ptx"))]):
+            readers = [kind({"path": str(tmp_path), "table": table, "errors": "skip"}, None) for kind in (P.BatchReader, P.Reader)]
+            for reader in readers:
+                list(reader.pushFilters(filters))
+            assert values(readers[0]) == list(readers[1].read(readers[1].partitions()[0])), (table, filters)
+    sizes, columns = P.word_columns([plain.encode(), plain.encode()])  # at once, without a row in Python
+    assert sizes == [4, 4] and [c[3].as_py() for c in columns] == [7, 0, 0.0, 0.0, 1.0, 1.0, '"q', False]
+    assert P.word_columns([odd["return"].encode()]) is None and P.facts(plain.encode())[3:] == (3, None)
+    with pytest.raises(P.BadFile, match="broken.ptx: a broken line on page 7"):
+        (tmp_path / "x").mkdir()
+        (tmp_path / "x" / "broken.ptx").write_text(plain + "\nW\t1")
+        values(P.BatchReader({"path": str(tmp_path / "x")}, None))
