@@ -138,3 +138,13 @@ def test_batches_hold_the_rows_that_are_read_line_by_line(tmp_path):
         (tmp_path / "x").mkdir()
         (tmp_path / "x" / "broken.ptx").write_text(plain + "\nW\t1")
         values(P.BatchReader({"path": str(tmp_path / "x")}, None))
+
+
+def test_contents_take_one_shuffle(spark):
+    words = spark.createDataFrame([("d1", p, k, 0.0, 1.0, 2.0, 3.0, f"w{k}", False) for p in (10, 2, 3) for k in (11, 2, 0)] + [("d3", 1, 0, 0.0, 1.0, 2.0, 3.0, "lost", False)], "doc_id string, page int, word_seq int, x0 double, y0 double, x1 double, y1 double, text string, rotated boolean")
+    pages = spark.createDataFrame([("d1", 10, 1.0, 2.0, False), ("d1", 2, 1.0, 2.0, True), ("d2", 1, 1.0, 2.0, None)], "doc_id string, page int, width double, height double, ocr boolean")
+    made = P.contents(words, pages)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    line = lambda k: f"W\t0.0\t1.0\t2.0\t3.0\t0\tw{k}"
+    of_page = [line(0), line(2), line(11)]
+    assert dict(map(tuple, made.collect())) == {"d1": "\n".join(["positioned-text 1 2", "P\t2\t1.0\t2.0\t1", *of_page, "P\t10\t1.0\t2.0\t0", *of_page]), "d2": "positioned-text 1 1\nP\t1\t1.0\t2.0\t0"}
