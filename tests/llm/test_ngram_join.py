@@ -178,3 +178,11 @@ def test_rows_that_repeat_an_id_and_a_text_are_shipped_once_by_a_task(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")] * 500 + [(2, "a b c d e g")], "doc_id long, text string").repartition(3)
     wanted = docs.distinct().select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("rep"))
     assert ngram_join._with_shingles(docs, wanted).count() <= 4
+
+
+def test_tasks_follow_rows_and_not_splits_or_unions(spark):
+    docs = spark.createDataFrame(similar_pairs(60), "doc_id long, text string").repartition(90)
+    sets = ngram_join.signatures(docs).withColumnRenamed("row", "rep")
+    cores = spark.sparkContext.defaultParallelism
+    for frames in ngram_join.paths(sets, 120, 0, 2):
+        assert all(f.rdd.getNumPartitions() <= cores for f in frames)

@@ -32,6 +32,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, rows: int, per: int) -> DataFrame:
+    """df, of some `rows` rows, in tasks of `per` rows, or one for each core: tasks that follow rows, not the input's splits and the parts of unions.
+
+    The driver pays for each task of each stage, so that many tiny ones take its memory."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / per)))
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A folder name in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -64,9 +71,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, tot
     Few groups are broadcast. Of many, a key that holds many rows is broadcast and its rows stay where they are; there
     are at most HEAVY_MOST such keys, since each holds more than that share of the rows. All others are shuffled, in
     tasks that follow `total`."""
+    if most is None or most > BROADCAST_GROUPS:
+        groups = checkpoint(groups)
     if (most if most is not None else groups.count()) <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), keys, how)
-    groups, least, tasks = checkpoint(groups), max(HEAVY_ROWS, total // HEAVY_MOST), max(1, math.ceil(total / TASK_ROWS))
+    least, tasks = max(HEAVY_ROWS, total // HEAVY_MOST), max(1, math.ceil(total / TASK_ROWS))
     heavy = groups.where(F.col(n) > least)
     here = rows.join(F.broadcast(heavy), keys)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").repartition(tasks, *keys)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batch_hashes, checkpoint, join_groups, mix, shingle_hashes, sorted_groups, text_chunks, word_hashes
+from vellum.llm.common import TASK_ROWS, batch_hashes, checkpoint, fewer, join_groups, mix, shingle_hashes, sorted_groups, text_chunks, word_hashes
 from vellum.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -59,7 +59,9 @@ BLOCK, GROWTH = 64, 8
 #: Shingles in a block, about, at most.
 BLOCK_SHINGLES = 2_000_000
 #: Paths that one task takes, about; the number of tasks follows the paths.
-TASK_PATHS = 20_000
+TASK_PATHS = 50_000
+#: Rows with an embedding (some 300 bytes each) that one task takes, about.
+TASK_SETS = 20_000
 #: Candidates up to so many are broadcast to the texts (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -128,17 +130,18 @@ def paths(reps: DataFrame, n: int, first: int, runs: int) -> tuple[list[DataFram
     roots = F.explode(F.array(*[F.xxhash64(F.lit("run"), F.lit(first + r)) for r in range(runs)]))
     level, total = _split(reps.select("rep", "sig", roots.alias("path"), F.lit(1 << 60).alias("parent"))), 2 * n * runs
     for depth in range(DEPTH):
-        level = checkpoint(level)
-        sizes = checkpoint(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-        level = checkpoint(join_groups(level, sizes, ["path"], "size", total))
+        level = fewer(checkpoint(level), total, TASK_ROWS)
+        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        level = fewer(checkpoint(join_groups(level, sizes, ["path"], "size", total)), total, TASK_ROWS)
         ends = (F.col("size") >= ALIKE * F.col("parent")) | F.lit(depth == DEPTH - 1)
-        leaves.append(level.where(F.col("size") <= LEAF).select("rep", "path"))
-        alike.append(level.where((F.col("size") > LEAF) & ends).select("rep", "path", "size"))
-        large = level.where((F.col("size") > LEAF) & ~ends)
-        total = 2 * large.count()
+        kinds = [F.col("size") <= LEAF, (F.col("size") > LEAF) & ends, (F.col("size") > LEAF) & ~ends]
+        n_leaf, n_alike, n_large = level.agg(*[F.count_if(kind) for kind in kinds]).first()
+        leaves.append(fewer(level.where(kinds[0]).select("rep", "path"), n_leaf, TASK_ROWS))
+        alike.append(fewer(level.where(kinds[1]).select("rep", "path", "size"), n_alike, TASK_ROWS))
+        total = 2 * n_large
         if not total:
             break
-        level = _split(large.select("rep", "path", F.col("size").alias("parent")).join(reps, "rep"))
+        level = _split(level.where(kinds[2]).select("rep", "path", F.col("size").alias("parent")).join(reps, "rep"))
     return leaves, alike
 
 
@@ -172,7 +175,7 @@ def probes(reps: DataFrame) -> DataFrame:
 def met(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v; at most PROBES) whose sets lie in one of the nodes (rep, path)."""
     wanted = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
-    near = nodes.join(F.broadcast(wanted), "rep", "left_semi")
+    near = checkpoint(nodes.join(F.broadcast(wanted), "rep", "left_semi"))
     a, b = near.select(F.col("rep").alias("u"), "path"), near.select(F.col("rep").alias("v"), "path")
     return F.broadcast(pairs).join(a, "u").join(b, ["v", "path"]).select("u", "v").distinct()
 
@@ -300,6 +303,7 @@ def candidate_links(reps: DataFrame, n: int) -> DataFrame:
         leaves, alike = paths(reps, n, first, STEP)
         leaf, same = _union(leaves), _union(alike)
         n_leaf, n_alike = leaf.count(), same.count()
+        leaf, same = fewer(leaf, n_leaf, TASK_ROWS), fewer(same, n_alike, TASK_ROWS)
         compared = leaf.join(reps, "rep").select("path", "rep", "sig").repartition(max(1, math.ceil(n_leaf / TASK_PATHS)), "path")
         edges = compared.sortWithinPartitions("path", "rep").mapInPandas(_compare_leaves, "u long, v long")
         least = same.groupBy("path").agg(F.min("rep").alias("v"), F.count("*").alias("n"))
@@ -323,8 +327,10 @@ def join(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, text_hash, class_id (the least doc_id of its class), links (rows of similar text, equal ones too), class_size, first (true for one row of each class)."""
     rows = signatures(docs)
     n_rows = rows.count()
+    rows = fewer(rows, n_rows, TASK_SETS)
     groups = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     rows = checkpoint(join_groups(rows, groups, ["d1", "d2"], "copies", n_rows, "left", n_rows).withColumns({"rep": F.coalesce("rep", "row"), "copies": F.coalesce("copies", F.lit(1))}))
+    rows = fewer(rows, n_rows, TASK_SETS)
     sets = rows.where("row = rep AND n > 0")
     reps, n_reps = sets.select("rep", "sig"), sets.count()
     candidates = components(candidate_links(reps, n_reps))
@@ -335,11 +341,11 @@ def join(docs: DataFrame) -> DataFrame:
     n_members = members.count()
     placed = join_groups(members, sizes.select("root", "size", k.alias("k")), ["root"], "size", n_members, most=n_members)
     wanted = checkpoint(placed.select("rep", "copies", "doc_id", "text_hash", "root", "k", "n", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("block")))
-    shipped = wanted.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
+    shipped, pieces = (x or 0 for x in wanted.agg(F.sum(F.col("k") * F.col("n")), F.sum("k")).first())
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shipped / BLOCK_SHINGLES))
     pairs = _with_shingles(docs, wanted.drop("n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     pairs = pairs.select("root", "i", "j", "rep", "block", "copies", "shingles").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-    exact = checkpoint(pairs.mapInPandas(_verify, "rep long, links long, to long"))
+    exact = fewer(checkpoint(pairs.mapInPandas(_verify, "rep long, links long, to long")), pieces, TASK_ROWS)
 
     links = exact.groupBy("rep").agg(F.sum("links").alias("near"))
     classes = components(exact.select(F.col("rep").alias("u"), F.col("to").alias("v"))).select(F.col("id").alias("rep"), F.col("root").alias("class"))
