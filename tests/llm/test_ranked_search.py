@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 
 from vellum.llm import ranked_search
 from vellum.llm.common import new_folder
@@ -98,3 +99,12 @@ def test_lengths_are_the_number_of_terms():
 def test_whole_numbers_beyond_64_bits():
     n = np.array([3, 10**7], np.int64)
     assert ranked_search.smooth(n, 10**12, 10**15).tolist() == [25 + 75 * 3 * 10**12 // 10**15, 25 + 75 * 10**7 * 10**12 // 10**15]
+
+
+def test_files_have_row_groups_of_few_blocks(spark):
+    r = random.Random(7)
+    docs = [(i, " ".join(str(r.randrange(10**9)) for _ in range(20_000))) for i in range(80)]
+    folder = new_folder(spark, "index")
+    ranked_search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), folder)
+    groups = [g for f in ds.dataset(folder.replace("file://", "")).get_fragments() for g in f.row_groups]
+    assert sum(g.num_rows for g in groups) >= 4 and max(g.num_rows for g in groups) <= 2

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """What is planned and run meanwhile gets Arrow batches of so many rows and about so many bytes at most: a worker and its executor hold several of them."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def fewer(df: DataFrame, rows: int, per: int) -> DataFrame:
     """df, of some `rows` rows, in tasks of `per` rows, or one for each core: tasks that follow rows, not the input's splits and the parts of unions.
 

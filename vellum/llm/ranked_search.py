@@ -35,10 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vellum.llm.common import checkpoint, small_batches
+
 #: A block holds so many pairs of document and term, about, and so many documents at most.
 BLOCK_POSTINGS, BLOCK_DOCS = 500_000, 65_536
-#: Texts that are counted at once.
-ROWS = 500
+#: Few blocks are a row group: Spark's writer holds one row group and its reader one at most, not a whole file of blocks.
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+#: Texts that are counted at once, and that a task gets from Spark at once, in so many bytes about.
+ROWS, BATCH_BYTES = 500, 8 << 20
 #: Impacts in one byte: 255 steps reach the greatest impact.
 GREATEST, STEP = 1_000_000, 3_922
 #: Bytes of item texts that are searched for at once.
@@ -107,21 +111,25 @@ def build(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_i
                 with_terms, total = with_terms + int((n > 0).sum()), total + int(n.sum())
         yield pa.RecordBatch.from_pydict({"n_docs": [with_terms], "n_terms": [total]})
 
-    sums = narrow.select("text").mapInArrow(count, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    with small_batches(docs.sparkSession, ROWS, BATCH_BYTES):
+        sums = narrow.select("text").mapInArrow(count, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = sums[0] or 0, sums[1] or 0
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for batch in batches:
+            t = None
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block.add(i, terms_of(t.as_py()))
                 if block.postings >= BLOCK_POSTINGS or len(block.ids) >= BLOCK_DOCS:
                     yield block.row(n_docs, n_terms)
                     block = Block()
+            del batch, t  # else it stays while the next one is read
         if block.ids:
             yield block.row(n_docs, n_terms)
 
-    narrow.mapInArrow(blocks, BLOCK).write.parquet(folder)
+    with small_batches(docs.sparkSession, ROWS, BATCH_BYTES):
+        narrow.mapInArrow(blocks, BLOCK).write.options(**ROW_GROUPS).parquet(folder)
     return Index(docs.sparkSession.read.parquet(folder), n_docs, n_terms)
 
 
@@ -314,10 +322,12 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
     kind = items.select(F.lit(0).cast("long").alias("item"), F.col(f"`{id_col}`").alias("item_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).schema
     for rows in _parts(items, id_col, text):
         part = Items.of(rows)
-        weigh(index, part)
-        bound(index, part, k)
+        with small_batches(spark, ROWS, BATCH_BYTES):
+            weigh(index, part)
+            bound(index, part, k)
+            best = checkpoint(rescore(index, part, k))
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
-        ranked = rescore(index, part, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         names = spark.createDataFrame(list(enumerate(part.names)), StructType(kind.fields[:2]))
         named = ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
         found = named if found is None else found.unionByName(named)
